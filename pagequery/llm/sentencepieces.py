@@ -127,9 +127,7 @@ def decode(encoded: DataFrame, pieces: DataFrame, *, key: str = "row") -> DataFr
     """
     places = encoded.select(key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces.select("id", "value")), "id", "left")
     order = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value"))))
-    whole = F.aggregate(order, F.lit(b""), lambda s, x: F.concat(s, x["value"]))
     text = places.groupBy(key).agg(order.alias("parts")).select(key, F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["value"])), "")).cast("string").alias("text"))
-    del whole
     return text.select(key, F.when(F.startswith("text", F.lit(" ")), F.substring("text", 2, 2147483647)).otherwise(F.col("text")).alias("text"))
 
 
