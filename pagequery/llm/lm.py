@@ -198,45 +198,54 @@ def context_vectors(m: dict, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def log10_probabilities(m: dict, at: np.ndarray, tokens: np.ndarray, chunk: int = 4096) -> np.ndarray:
+def log10_probabilities(m: dict, at: np.ndarray, tokens: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Normalised log10 probability of each token's class in its context."""
     out = np.empty(len(tokens))
-    q, b = np.ascontiguousarray(m["q"].T), m["b"]
-    ones = np.ones(len(b), np.float32)
+    # the bias is a row of the product; a bound on the logits tells whether exp needs a guard
+    q = np.vstack([m["q"].T, m["b"]]).astype("f4")
+    width, ones = len(q) - 1, np.ones(q.shape[1], np.float32)
+    longest = np.sqrt((m["q"] ** 2).sum(1).max())
+    h = np.ones((min(chunk, len(tokens)), width + 1), np.float32)
     for i in range(0, len(tokens), chunk):
-        logits = context_vectors(m, at[:, i : i + chunk]) @ q
-        logits += b
-        own = logits[np.arange(len(logits)), tokens[i : i + chunk]].astype("f8")
-        np.exp(np.minimum(logits, 80, out=logits), out=logits)
+        here = tokens[i : i + chunk]
+        h[: len(here), :width] = context_vectors(m, at[:, i : i + chunk])
+        v = h[: len(here)]
+        logits = v @ q
+        own = logits[np.arange(len(here)), here].astype("f8")
+        if np.sqrt((v[:, :width] ** 2).sum(1).max()) * longest + m["b"].max() > 80:
+            np.minimum(logits, 80, out=logits)
+        np.exp(logits, out=logits)
         out[i : i + chunk] = own - np.log((logits @ ones).astype("f8"))
     return out / np.log(10)
 
 
-def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """to[rows] += values, repeats summed."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    to[sorted_rows[cuts]] += np.add.reduceat(values[order], cuts, axis=0)
+def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """out[r] = the sum of the values at rows equal to r."""
+    width = values.shape[1]
+    places = (rows.astype(np.int64) * width)[:, None] + np.arange(width)
+    return np.bincount(places.ravel(), values.ravel(), n * width).reshape(n, width).astype("f4")
 
 
 def improve(m: dict, at: np.ndarray, tokens: np.ndarray, noise: np.ndarray, squares: dict, rng: np.random.Generator, *, negatives: int = NOISE, rate: float = RATE) -> None:
     """One step of noise-contrastive estimation on a batch, in place: every token against the same negatives draws from noise."""
-    drawn = rng.choice(len(noise), negatives, p=noise)
-    h = context_vectors(m, at)
+    classes, width = m["q"].shape
+    drawn = rng.choice(classes, negatives, p=noise)
     lift = np.log(negatives * noise).astype("f4")
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    own = 1 - sigmoid(np.einsum("ij,ij->i", h, m["q"][tokens]) + m["b"][tokens] - lift[tokens])
-    others = -sigmoid(h @ m["q"][drawn].T + m["b"][drawn] - lift[drawn])
+    seen = m["r"][at]
+    h = np.einsum("cnw,cw->nw", seen, m["p"])
+    sigmoid = lambda x: np.float32(0.5) * (1 + np.tanh(np.float32(0.5) * x))
+    q_own, q_drawn = m["q"][tokens], m["q"][drawn]
+    own = 1 - sigmoid(np.einsum("ij,ij->i", h, q_own) + (m["b"] - lift)[tokens])
+    others = -sigmoid(h @ q_drawn.T + (m["b"] - lift)[drawn])
+    back = own[:, None] * q_own + others @ q_drawn
+    back_each = back[None] * m["p"][:, None]
+    g = {
+        "r": _row_sums(at.ravel(), back_each.reshape(-1, width), classes),
+        "q": _row_sums(np.concatenate([tokens, drawn]), np.concatenate([own[:, None] * h, others.T @ h]), classes),
+        "p": np.einsum("nw,cnw->cw", back, seen),
+        "b": (np.bincount(tokens, own, classes) + np.bincount(drawn, others.sum(0), classes)).astype("f4"),
+    }
     n = np.float32(len(tokens))
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    _add_rows(g["q"], tokens, own[:, None] * h)
-    np.add.at(g["q"], drawn, others.T @ h)
-    g["b"] += np.bincount(tokens, own, len(noise)).astype("f4") + np.bincount(drawn, others.sum(0), len(noise)).astype("f4")
-    back = own[:, None] * m["q"][tokens] + others @ m["q"][drawn]
-    for i in range(len(at)):
-        _add_rows(g["r"], at[i], back * m["p"][i])
-        g["p"][i] = np.einsum("ij,ij->j", back, m["r"][at[i]])
     for k, x in g.items():
         x /= n
         squares[k] += x * x
