@@ -76,9 +76,9 @@ def sampled(counted: DataFrame, keys: list[str], weights: list[str], samples: in
 
 def counted(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, word long, columns as counts): how often each text column holds each word, by a 64-bit hash of the word; keys without words keep a row of a null word."""
-    kinds = F.array(*[F.struct(F.col(c).alias("text"), *[F.lit(int(c == d)).cast("bigint").alias(d) for d in columns]) for c in columns])
+    kinds = F.array(*[F.struct(F.col(c).alias("_text"), *[F.lit(int(c == d)).cast("bigint").alias(d) for d in columns]) for c in columns])
     one = texts.select(*keys, F.explode(kinds).alias("one"))
-    words = one.select(*keys, *[F.col(f"one.{c}").alias(c) for c in columns], F.explode(F.split("one.text", SPACES)).alias("w"))
+    words = one.select(*keys, *[F.col(f"one.{c}").alias(c) for c in columns], F.explode(F.split("one._text", SPACES)).alias("w"))
     return words.select(*keys, F.when(F.col("w") != "", F.xxhash64("w")).alias("word"), *columns).groupBy(*keys, "word").agg(*[F.sum(c).alias(c) for c in columns])
 
 

@@ -100,7 +100,7 @@ def search(vectors: DataFrame, queries: Column | str, *, k: int = K, block: int
 
 def _search_block(spark: SparkSession, kept: DataFrame, rows: list, k: int, bins: int, bound: int, exact: bool) -> DataFrame:
     sizes = np.array([len(r[2]) for r in rows])
-    block = {int(w): (np.flatnonzero(sizes == w), np.array([rows[i][2] for i in np.flatnonzero(sizes == w)], np.float64 if exact else np.int64).reshape(-1, int(w)), np.float64 if exact else np.int64) for w in np.unique(sizes)}
+    block = {int(w): (np.flatnonzero(sizes == w), np.array([rows[i][2] for i in np.flatnonzero(sizes == w)], np.float64 if exact else np.int64).reshape(-1, int(w)) if w else np.zeros((int((sizes == 0).sum()), 0)), np.float64 if exact else np.int64) for w in np.unique(sizes)}
     own = np.array([r[0] for r in rows])
     # kth scores lie in [low, low + bins * width) of each query, and above counts the scores beyond
     width = 1 << max(0, math.ceil(math.log2((2 * bound + 1) / bins)))
@@ -113,10 +113,11 @@ def _search_block(spark: SparkSession, kept: DataFrame, rows: list, k: int, bins
             block, own, low, above, width = shipped.value
             counts = np.zeros((len(own), bins), np.int64)
             for places, rid, _, scores in _scored(batches, block):
-                at = (scores - low[places][:, None]) // width
+                # unsigned, as scores may lie anywhere in 64 bits
+                at = (scores.view(np.uint64) - low[places].view(np.uint64)[:, None]) // np.uint64(width)
                 valid = (scores >= low[places][:, None]) & (at < bins) & (rid[None, :] != own[places][:, None])
                 q, c = np.nonzero(valid)
-                counts += np.bincount(places[q] * bins + at[q, c], minlength=counts.size).reshape(counts.shape)
+                counts += np.bincount(places[q] * bins + at[q, c].astype(np.int64), minlength=counts.size).reshape(counts.shape)
             # counts below the bin at which this task alone reaches k can't decide
             after = np.cumsum(counts[:, ::-1], 1)[:, ::-1] - counts
             q, i = np.nonzero((counts > 0) & (after + above[:, None] < k))
