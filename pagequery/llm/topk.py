@@ -136,7 +136,7 @@ def _search_block(spark: SparkSession, kept: DataFrame, rows: list, k: int, bins
         seen = np.zeros(len(rows), bool)
         for r in chosen:
             seen[r.q] = True
-            low[r.q] += r.bin * width
+            low[r.q] = int(low[r.q]) + r.bin * width
             above[r.q] = r.over
             few[r.q] |= r.over + r.n < k
         few |= ~seen
