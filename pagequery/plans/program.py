@@ -13,6 +13,9 @@ KINDS = ("fetch", "fetch_group", "extract", "enrich", "done")
 @dataclass(frozen=True)
 class Step:
     kind: str
+    #: the batch that a fetch step makes
+    label: str = ""
+    #: the batch that a step reads
     source: str = ""
     urls: tuple[str, ...] = ()
     group: str = ""
@@ -54,7 +57,7 @@ def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str],
             continue
         source = raw.get("from") or "prev"
         source = latest if source == "prev" and latest else source
-        known = source in batches or (source == latest and latest)
+        known = source in batches or source in {s.label for s in out.steps if s.label}
         named = [str(f) for f in raw.get("fields") or fields]
         if kind == "done":
             out.steps.append(Step("done", reason=str(raw.get("reason", ""))[:300]))
@@ -67,7 +70,7 @@ def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str],
             kept = [u for u in asked if u in offered][: settings.cap_per_group]
             if kept:
                 latest = f"s{n}"
-                out.steps.append(Step("fetch", source=latest, urls=tuple(kept)))
+                out.steps.append(Step("fetch", label=latest, urls=tuple(kept)))
         elif kind == "enrich":
             if not settings.allow_external:
                 out.clamps.append("enrich needs external pages, which aren't allowed")
@@ -82,9 +85,8 @@ def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str],
             cap = max(1, min(asked, settings.cap_per_group))
             if cap < asked:
                 out.clamps.append(f"cap lowered from {asked} to {cap}")
-            out.steps.append(Step("fetch_group", source=source, group=str(raw.get("group", "*")), cap=cap, paginate=bool(raw.get("paginate"))))
             latest = f"s{n}"
-            out.steps[-1] = Step(**{**out.steps[-1].__dict__, "reason": latest})
+            out.steps.append(Step("fetch_group", label=latest, source=source, group=str(raw.get("group", "*")), cap=cap, paginate=bool(raw.get("paginate"))))
         else:
             mode = raw.get("mode") if raw.get("mode") in ("auto", "llm") else "auto"
             out.steps.append(Step("extract", source=source, fields=tuple(named), mode=mode))
