@@ -92,7 +92,7 @@ def robots_allowed(requests: DataFrame, robots: DataFrame, agent: str = "*") ->
     origin = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*", 0)
     joined = requests.withColumn("_origin", origin).join(robots.select(F.col("origin").alias("_origin"), F.col("body").alias("_body")), "_origin", "left")
     names = requests.columns
-    schema = requests.withColumn("robots_ok", F.lit(True)).withColumn("crawl_delay", F.lit(0.0)).schema
+    schema = requests.withColumn("robots_ok", F.lit(True)).withColumn("crawl_delay", F.lit(None).cast("double")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rules = None, None
