@@ -12,6 +12,7 @@ so, of thousands.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from pagequery.llm.common import materialize, table
 
 GROUP_ROWS, OPEN_BINS, CAPACITY, END = 8192, 4096, 4096, 1
-#: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 500_000
+#: Words whose ids a worker keeps; those that come later are encoded again where they recur.
+KEPT_WORDS = 300_000
+#: New words to a string, and what parts them.
+TOGETHER, MARK = 256, b"\x01"
+#: Words of these letters, with stops after them, are known by their letters in lower case.
+LETTERS, STOPS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), b".,;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,22 +44,64 @@ def word_encoder(model: str):
     """ids of texts, as bytes of little-endian unsigned 32-bit numbers, word by word.
 
     The tokenizer's own rules part words at white space and never look across it,
-    so a text's ids are its words' ids in a row, and each word is encoded once.
+    so a text's ids are its words' ids in a row, and each word is encoded once
+    while there is room to keep it. New words are encoded many to a string, parted
+    by a control character whose id tells where the next one begins.
     """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_str(model), {}
+    tokenizer, known, parts_known = Tokenizer.from_str(model), {}, {}
+    alone = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    mark = alone(MARK.decode())
+
+    def fresh(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        plain = [w for w in words if MARK not in w] if len(mark) == 1 else []
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.asarray(alone((b" " + MARK + b" ").join(part).decode("utf-8", "replace")), dtype="<u4")
+            cuts = np.flatnonzero(ids == mark[0])
+            if len(cuts) == len(part) - 1:
+                whole = ids.tobytes()
+                bounds = [0, *(4 * (cuts + 1)).tolist()]
+                yield from zip(part, (whole[a:b] for a, b in zip(bounds, [*(4 * cuts).tolist(), len(whole)], strict=True)), strict=True)
+            else:
+                yield from ((w, np.asarray(alone(w.decode("utf-8", "replace")), dtype="<u4").tobytes()) for w in part)
+        if len(plain) < len(words):
+            yield from ((w, np.asarray(alone(w.decode("utf-8", "replace")), dtype="<u4").tobytes()) for w in words if MARK in w or not plain)
+
+    def stems(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """fresh() of words, by way of their lower-cased letters and the stops after them where they are of that simple form: the tokenizer parts and lower-cases them so."""
+        simple, rest = [], []
+        for w in words:
+            stem = w.rstrip(STOPS)
+            text = stem.decode("utf-8", "replace")
+            if LETTERS.fullmatch(text):
+                simple.append((w, text.lower().encode(), w[len(stem) :]))
+            else:
+                rest.append(w)
+        missing = {x for _, *parts in simple for x in parts if x} - parts_known.keys()
+        if len(parts_known) + len(missing) > KEPT_WORDS:
+            parts_known.clear()
+            missing = {x for _, *parts in simple for x in parts if x}
+        parts_known.update(fresh(list(missing)))
+        parts_known[b""] = b""
+        for w, a, b in simple:
+            yield w, parts_known[a] + parts_known[b]
+        yield from fresh(rest)
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         new = list(set().union(*words) - known.keys()) if words else []
+        use = known
         if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list(set().union(*words))
-        for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            # what is new now is known for these texts alone
+            use = {w: known[w] for ws in words for w in ws if w in known}
+        use.update(stems(new))
         for ws in words:
-            yield b"".join(map(known.__getitem__, ws))
+            yield b"".join(map(use.__getitem__, ws))
 
     return encode
 
@@ -70,8 +117,8 @@ def pieces(docs: DataFrame, *, model: str, capacity: int = CAPACITY, end: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(shipped.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 out = [[], [], [], [], []]
                 for doc, ids in zip(batch["doc_id"].to_pylist(), encode([t or "" for t in batch["text"].to_pylist()]), strict=True):
                     ids += tail
