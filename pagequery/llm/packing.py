@@ -25,7 +25,7 @@ from pagequery.llm.common import materialize, table
 
 GROUP_ROWS, OPEN_BINS, CAPACITY, END = 8192, 4096, 4096, 1
 #: Words whose ids a worker keeps; those that come later are encoded again where they recur.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: New words to a string, and what parts them.
 TOGETHER, MARK = 256, b"\x01"
 #: Words of these letters, with stops after them, are known by their letters in lower case.
@@ -74,34 +74,43 @@ def word_encoder(model: str):
 
     def stems(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """fresh() of words, by way of their lower-cased letters and the stops after them where they are of that simple form: the tokenizer parts and lower-cases them so."""
-        simple, rest = [], []
+        simple, rest, missing = [], [], set()
+        if len(parts_known) + 2 * len(words) > KEPT_WORDS:
+            parts_known.clear()
         for w in words:
             stem = w.rstrip(STOPS)
-            text = stem.decode("utf-8", "replace")
-            if LETTERS.fullmatch(text):
-                simple.append((w, text.lower().encode(), w[len(stem) :]))
+            if stem.isalpha():  # of bytes: ASCII letters only
+                low = stem.lower()
+            elif LETTERS.fullmatch(text := stem.decode("utf-8", "replace")):
+                low = text.lower().encode()
             else:
                 rest.append(w)
-        missing = {x for _, *parts in simple for x in parts if x} - parts_known.keys()
-        if len(parts_known) + len(missing) > KEPT_WORDS:
-            parts_known.clear()
-            missing = {x for _, *parts in simple for x in parts if x}
+                continue
+            tail = w[len(stem) :]
+            if low not in parts_known:
+                missing.add(low)
+            if tail not in parts_known:
+                missing.add(tail)
+            simple.append((w, low, tail))
+        missing.discard(b"")
         parts_known.update(fresh(list(missing)))
         parts_known[b""] = b""
-        for w, a, b in simple:
-            yield w, parts_known[a] + parts_known[b]
+        for w, low, tail in simple:
+            yield w, parts_known[low] + parts_known[tail]
         yield from fresh(rest)
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*words) - known.keys()) if words else []
-        use = known
-        if len(known) + len(new) > KEPT_WORDS:
+        new = [w for w in set().union(*words) if w not in known]
+        if len(known) + len(new) <= KEPT_WORDS:
+            known.update(stems(new))
+            for ws in words:
+                yield b"".join(map(known.__getitem__, ws))
+        else:
             # what is new now is known for these texts alone
-            use = {w: known[w] for ws in words for w in ws if w in known}
-        use.update(stems(new))
-        for ws in words:
-            yield b"".join(map(use.__getitem__, ws))
+            extra = dict(stems(new))
+            for ws in words:
+                yield b"".join([known.get(w) or extra.get(w, b"") for w in ws])
 
     return encode
 
