@@ -196,7 +196,8 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     Of rows that repeat a doc_id one with the component's id stays each.
     """
     found = materialize(near_duplicates(docs, **how).filter("doc_id <=> component_id").select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
+    # by merging at every size: the ids grow with the input, so no broadcast of them is bounded
+    return docs.join(found.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
