@@ -106,16 +106,19 @@ def _search_block(spark: SparkSession, kept: DataFrame, rows: list, k: int, bins
     width = 1 << max(0, math.ceil(math.log2((2 * bound + 1) / bins)))
     low, above = np.full(len(rows), -bound, np.int64), np.zeros(len(rows), np.int64)
     few = np.zeros(len(rows), bool)
+    # scores at low + span or more are in above already, though the bins may reach them
+    span = min(bins * width, 2**64 - 1)
     while True:
-        shipped = spark.sparkContext.broadcast((block, own, low, above, width))
+        shipped = spark.sparkContext.broadcast((block, own, low, above, width, span))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block, own, low, above, width = shipped.value
+            block, own, low, above, width, span = shipped.value
             counts = np.zeros((len(own), bins), np.int64)
             for places, rid, _, scores in _scored(batches, block):
                 # unsigned, as scores may lie anywhere in 64 bits
-                at = (scores.view(np.uint64) - low[places].view(np.uint64)[:, None]) // np.uint64(width)
-                valid = (scores >= low[places][:, None]) & (at < bins) & (rid[None, :] != own[places][:, None])
+                past = scores.view(np.uint64) - low[places].view(np.uint64)[:, None]
+                at = past // np.uint64(width)
+                valid = (scores >= low[places][:, None]) & (past < np.uint64(span)) & (at < bins) & (rid[None, :] != own[places][:, None])
                 q, c = np.nonzero(valid)
                 counts += np.bincount(places[q] * bins + at[q, c].astype(np.int64), minlength=counts.size).reshape(counts.shape)
             # counts below the bin at which this task alone reaches k can't decide
@@ -142,7 +145,7 @@ def _search_block(spark: SparkSession, kept: DataFrame, rows: list, k: int, bins
         few |= ~seen
         if width == 1:
             break
-        width = max(1, -(-width // bins))
+        span, width = width, max(1, -(-width // bins))
     # a query with fewer than k candidates keeps them all
     least = np.where(few, -(2**63), low)
     shipped = spark.sparkContext.broadcast((block, own, np.array([r[1] for r in rows]), least))

@@ -53,6 +53,16 @@ def test_topk_of_large_numbers(spark):
     assert one.count() == 0
 
 
+def test_topk_of_dense_scores(spark):
+    # widths 4096, 2 and 1: many scores lie within 2048 above the bin of the kth
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.15, 8)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = topk.search(topk.integer_vectors(df), "vec_id % 100 = 0", bins=2048).collect()
+    assert collections.Counter(r.query_id for r in got) == {q: 10 for q in range(0, 600, 100)}
+    assert sorted(map(tuple, got)) == slow_topk(rows)
+
+
 # ---- pieces
 
 
