@@ -218,15 +218,16 @@ def scan(docs: DataFrame, rules=BASE + MORE, *, broadcast_rows: int = BROADCAST_
     """docs with a column found: array<struct<start, ord, stop, kind>> by start, then the order of the rules.
 
     docs needs doc_id and text; its other columns stay, but for one named found or
-    rules. A null text has no matches. Rows that share a doc_id are searched each
-    by itself. Matches of one rule don't overlap, those of several may.
+    rules. A null text has no matches. Rows that share a doc_id, or have none, are
+    searched each by itself. Matches of one rule don't overlap, those of several may.
     """
     docs = docs.drop("found", "rules")
     asked = [i for i, r in enumerate(rules) if trigram_query(r.pattern) is not ALL]
     text = F.coalesce(F.col("text"), F.lit(""))
     if asked:
         sets = materialize(candidates(docs, rules))
-        docs = docs.join(F.broadcast(sets) if small_enough(sets, broadcast_rows) else sets, "doc_id", "left")
+        # null-safe, as the postings of rows without an id are grouped under null
+        docs = docs.join(F.broadcast(sets) if small_enough(sets, broadcast_rows) else sets, docs["doc_id"].eqNullSafe(sets["doc_id"]), "left").drop(sets["doc_id"])
     parts = []
     for i, r in enumerate(rules):
         found = matches(text, r, i)

@@ -270,6 +270,16 @@ def test_secrets_against_brute_force(spark, bound):
     assert secrets.scan(no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_secrets_of_rows_without_an_id(spark, bound):
+    rows = [(None, t) for t in [*SECRETS, "nothing here"]] + [(1, SECRETS[0]), (2, "nothing here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text, ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in r.found)) for r in secrets.scan(docs, broadcast_rows=bound).collect())
+    assert got == collections.Counter((i, t, ",".join(s[2] for s in slow_spans(t))) for i, t in rows)
+    out = [r.text for r in secrets.redact(docs).collect() if r.doc_id is None]
+    assert len(out) == len(SECRETS) + 1 and SECRETS[0] not in out and SECRETS[1] not in out
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
