@@ -24,7 +24,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequery.llm.common import materialize, table
@@ -53,15 +53,15 @@ def text_fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long): one row for each row of docs (doc_id, text); the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, *, words: int = SHINGLE, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(the keys as long, fp long): one row for each row of docs (the keys, text); the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([text_fingerprint(t.as_py(), words) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[F.col(k).cast("long") for k in keys], "text").mapInArrow(run, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -168,6 +168,15 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, run: int = RUN) -> DataFram
     return out.union(points.join(least, ["t", "point"]).filter("fp != b").select("fp", "b").distinct())
 
 
+def labelled(fps: DataFrame, first: Column, *, radius: int = RADIUS, run: int = RUN) -> DataFrame:
+    """(fp, first, component) for each distinct fp of fps: the aggregate first over its rows, and the component by its smallest fingerprint."""
+    # a third of all rows may share a fingerprint: they meet as partial minima
+    nodes = materialize(fps.groupBy("fp").agg(first.alias("first")))
+    found = materialize(components(links(nodes, radius=radius, run=run)))
+    # both sides of each join are written tables, so that Spark can split a hot key
+    return materialize(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, radius: int = RADIUS, run: int = RUN) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of docs (doc_id, text).
 
@@ -179,25 +188,30 @@ def near_duplicates(docs: DataFrame, *, words: int = SHINGLE, radius: int = RADI
     An empty table gives no rows. Other columns are ignored.
     """
     fps = materialize(fingerprints(docs, words=words))
-    # a third of all rows may share a fingerprint: they meet as partial minima
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = materialize(components(links(nodes, radius=radius, run=run)))
-    # both sides of each join are written tables, so that Spark can split a hot key
-    labelled = materialize(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
-    least = materialize(labelled.groupBy("component").agg(F.min("first").alias("component_id")))
-    named = materialize(labelled.join(least, "component").select("fp", "component_id"))
+    nodes = labelled(fps, F.min("doc_id"), radius=radius, run=run)
+    least = materialize(nodes.groupBy("component").agg(F.min("first").alias("component_id")))
+    named = materialize(nodes.join(least, "component").select("fp", "component_id"))
     joined = fps.join(named, "fp", "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that come first in their component: one document for each group, with all its columns.
+def keep_first(docs: DataFrame, *, words: int = SHINGLE, radius: int = RADIUS, run: int = RUN) -> DataFrame:
+    """The rows of docs that come first in their component: one row for each group, with all its columns.
 
-    Of rows that repeat a doc_id one with the component's id stays each.
+    First is the smallest doc_id, null the last, and of rows that repeat it any
+    one. Rows count by themselves: those that share a doc_id, or have none, stay
+    each if they lie in different components.
     """
-    found = materialize(near_duplicates(docs, **how).filter("doc_id <=> component_id").select("doc_id").distinct())
-    # by merging at every size: the ids grow with the input, so no broadcast of them is bounded
-    return docs.join(found.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row = "_" + row
+    # written with the numbers, which a second reading of docs could deal out otherwise
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    fps = materialize(fingerprints(rows, words=words, keys=("doc_id", row)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")))
+    found = materialize(labelled(fps, first, radius=radius, run=run).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
+    # by merging at every size: the rows grow with the input, so no broadcast of them is bounded
+    return rows.join(found.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,15 @@ def test_simhash_against_brute_force(spark):
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == set(slow_components(fps, 4).values())
 
 
+def test_keep_first_takes_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{k}{i * 7 % 41}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (1, c), (1, d), (2, c), (0, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, _row string, row int").repartition(3)
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(None, a), (None, b), (1, c), (1, d), (0, None)])
+
+
 @pytest.mark.parametrize("radius", [2, 4, 6])
 def test_covering(radius):
     rng = np.random.default_rng(3)
