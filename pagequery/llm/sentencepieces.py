@@ -8,11 +8,13 @@ and way to each place. It gives a unigram model's segmentation.
 The public model at hand, however, merges pairs by rank (byte-pair encoding), and no
 sum of scores over a lattice spells out its merges: the best path differs from the
 model's own result for many words. So the query encodes whole texts by the library,
-in Arrow batches, without a shuffle; decode() is native and undoes both.
+in Arrow batches, without a shuffle, and decodes the ids of each row where it is;
+decode() does the same natively for ids by key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +35,8 @@ def model_bytes(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
-    """(id int, piece string, score double, kind string, value binary): what each id stands for; kind is text, byte or control."""
+def piece_rows(model: bytes) -> list[tuple]:
+    """The rows of piece_table(), by id."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -47,7 +49,12 @@ def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
             rows.append((i, p, sp.get_score(i), "control", b""))
         else:
             rows.append((i, p, sp.get_score(i), "text", p.replace(SPACE, " ").encode()))
-    return spark.createDataFrame(rows, "id int, piece string, score double, kind string, value binary")
+    return rows
+
+
+def piece_table(spark: SparkSession, model: bytes) -> DataFrame:
+    """(id int, piece string, score double, kind string, value binary): what each id stands for; kind is text, byte or control."""
+    return spark.createDataFrame(piece_rows(model), "id int, piece string, score double, kind string, value binary")
 
 
 def viterbi(words: DataFrame, pieces: DataFrame, *, unknown: float = -1e9) -> DataFrame:
@@ -131,6 +138,37 @@ def decode(encoded: DataFrame, pieces: DataFrame, *, key: str = "row") -> DataFr
     return text.select(key, F.when(F.startswith("text", F.lit(" ")), F.substring("text", 2, 2147483647)).otherwise(F.col("text")).alias("text"))
 
 
+def decoded_text(ids: list[int], values: list[bytes]) -> str:
+    """What decode() gives for one row's ids; values are the pieces' by id."""
+    return b"".join([values[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
+
+
+def with_decoded(encoded: DataFrame, *, model: bytes) -> DataFrame:
+    """encoded (doc_id, ids, ids_crc32) with decoded_sha256, the digest of the text that each row's ids stand for, and decoded_as_library, whether the library decodes them to the same text.
+
+    Each row is decoded where it is, so no key is needed and nothing is shuffled.
+    """
+    shipped = encoded.sparkSession.sparkContext.broadcast((model, [r[4] for r in piece_rows(model)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        proto, values = shipped.value
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                ids = [np.asarray(x.values).tolist() for x in batch["ids"]]
+                mine = [decoded_text(x, values) for x in ids]
+                same = [a == sp.decode(x) if x else not a for a, x in zip(mine, ids, strict=True)]
+                digests = [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in mine]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], batch["ids_crc32"], pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "ids_crc32", "decoded_sha256", "decoded_as_library"])
+
+    return encoded.mapInArrow(run, "doc_id long, ids array<int>, ids_crc32 long, decoded_sha256 string, decoded_as_library boolean")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids, ids_crc32 of all whole documents."""
-    return encode(table(spark, sf_dir, "documents"), model=model_bytes()).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "ids_crc32")
+    """doc_id, n_pieces, ids, ids_crc32, decoded_sha256, decoded_as_library of all whole documents."""
+    model = model_bytes()
+    both = with_decoded(encode(table(spark, sf_dir, "documents"), model=model), model=model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "ids_crc32", "decoded_sha256", "decoded_as_library")

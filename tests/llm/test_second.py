@@ -111,6 +111,18 @@ def test_encoding_is_the_librarys_and_comes_back(spark):
     assert sentencepieces.encode(no_documents(spark), model=model).count() == 0
 
 
+def test_sentencepiece_query_decodes_every_document(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepieces.model_bytes())
+    rows = sentencepieces.op7_sentencepiece(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert all(r.decoded_as_library and r.decoded_sha256 == hashlib.sha256(sp.decode(list(r.ids)).encode()).hexdigest() for r in rows)
+    model = sentencepieces.model_bytes()
+    odd = sentencepieces.with_decoded(sentencepieces.encode(odd_documents(spark), model=model), model=model).collect()
+    assert len(odd) == odd_documents(spark).count() and all(r.decoded_as_library for r in odd)
+
+
 # ---- fingerprints
 
 
