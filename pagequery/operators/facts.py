@@ -46,6 +46,9 @@ _TYPES = {
     "blocks": pa.list_(pa.struct([("selector", pa.string()), ("count", pa.int32()), ("avg_text_chars", pa.int32()), ("sample_text", pa.string()), ("hrefs", _STRINGS)])),
 }
 
+#: The columns that page_facts() adds.
+FACTS = tuple(_TYPES)
+
 
 def main_text(root: Node, cap: int = MAIN_CHARS) -> str:
     """Readable text of main, article or role=main, or of the body where that is missing or short; page chrome is left out."""

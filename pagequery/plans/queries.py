@@ -137,9 +137,8 @@ _LINKS = f"""(SELECT page_id, url, pos, regexp_extract(l, 'href="([^"]*)"', 1) A
 @query(f"""SELECT page_id, min(pos) AS pos, origin || href AS link, arg_min(text, pos) AS text, 'nav' AS region FROM
  (SELECT l.page_id, pos, href, text, c.origin FROM {_LINKS} l JOIN {_CANONICAL} c ON l.page_id = c.page_id) GROUP BY page_id, origin, href""")
 def link_extract(spark, sf_dir):
-    pages = page_links(pages_of(spark, sf_dir), spread=spread(spark))
-    rows = ln.link_rows(pages.withColumn("key", F.struct("page_id", "url")).select("key", "links", "url", "page_id"), "url")
-    return rows.join(pages.select("url", "page_id").distinct(), "url").select("page_id", F.col("pos").cast("long").alias("pos"), "link", "text", "region")
+    rows = ln.link_rows(page_links(pages_of(spark, sf_dir), spread=spread(spark)), "page_id")
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), "link", "text", "region")
 
 
 @query(f"SELECT page_id, sum(CASE WHEN length(href) > 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM {_LINKS} GROUP BY page_id")
@@ -169,10 +168,17 @@ def health_histogram(spark, sf_dir):
     return _healthy(spark, sf_dir).groupBy("health").agg(F.count(F.lit(1)).alias("pages"))
 
 
-@query()
+@query(f"""SELECT t.page_id, t.title, t.heading, length(x.text) AS text_chars, substr(x.text, 1, 400) AS text_preview, coalesce(l.n, 0)::BIGINT AS links_total, l.singles, 0 AS omitted, 0 AS groups
+FROM (SELECT page_id, substr(trim({_PLAIN("regexp_extract(html, '<title>(.*?)</title>', 1)")}), 1, 200) AS title, 'h1: ' || substr(trim({_PLAIN("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}), 1, 120) AS heading FROM pages) t
+JOIN {_TEXTS} x ON t.page_id = x.page_id
+LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(text || '=' || link, '|' ORDER BY pos) AS singles FROM
+ (SELECT l.page_id, min(pos) AS pos, origin || href AS link, arg_min(text, pos) AS text FROM _LINKS_ l JOIN {_CANONICAL} c ON l.page_id = c.page_id GROUP BY l.page_id, origin, href) GROUP BY page_id) l ON t.page_id = l.page_id""".replace("_LINKS_", _LINKS))
 def page_outlines(spark, sf_dir):
-    pages = pages_of(spark, sf_dir).withColumn("status", F.lit(200)).withColumn("health", F.lit("ok")).withColumn("url", F.concat("url", F.lit("#"), "page_id"))
-    return ln.outline(page_facts(pages, spread=spread(spark))).select("url", "title", "headings", "text_chars", "text_preview", "links_total", "groups", "singles", "omitted", "denied", "repeats", "next_page")
+    """Outlines of all pages; their links have one folder, so none makes a group. The groups of outlines are in outline_parts."""
+    pages = pages_of(spark, sf_dir).withColumn("status", F.lit(200)).withColumn("health", F.lit("ok"))
+    out = ln.outline(page_facts(pages, spread=spread(spark)), keep=("page_id",))
+    singles = F.array_join(F.transform("singles", lambda x: F.concat(x["text"], F.lit("="), x["link"])), "|")
+    return out.select("page_id", "title", F.get("headings", F.lit(0)).alias("heading"), F.col("text_chars").cast("long").alias("text_chars"), "text_preview", "links_total", singles.alias("singles"), F.col("omitted").cast("int").alias("omitted"), F.coalesce(F.size("groups"), F.lit(0)).alias("groups"))
 
 
 @query(f"SELECT host || '/' || first || '/*' AS template, count(*) AS pages FROM {_KEYS} GROUP BY ALL")
@@ -228,6 +234,35 @@ def repeat_blocks(spark, sf_dir):
     return ln.repeats(pages, ln.link_groups(ln.link_rows(pages))).select("url", "selector", "count", "contains")
 
 
+def outlined_pages(spark, sf_dir) -> DataFrame:
+    """listing_pages() of four cards or more, with three groups of links, single ones beyond what is shown, and a next page."""
+    more = "".join(f'<a href="/nav/a{i}">n{i}</a>' for i in range(4))
+    aside = "<aside>" + "".join(f'<a href="https://other.example/p/q{i}">o{i}</a>' for i in range(5)) + "</aside>"
+    foot = "<footer>" + "".join(f'<a href="/f{i}">f{i}</a>' for i in range(45)) + '</footer><a rel="next" href="?page=2">»</a>'
+    big = table(spark, sf_dir, "part").groupBy("p_brand").count().filter("count >= 4").select("p_brand")
+    html = F.replace(F.replace("html", F.lit("</nav>"), F.lit(more + "</nav>")), F.lit("<footer><a href=/imprint>imprint</a></footer>"), F.lit(aside + foot))
+    return listing_pages(spark, sf_dir).join(big, "p_brand", "left_semi").select("url", html.alias("html"), F.lit(200).alias("status"), F.lit("ok").alias("health"))
+
+
+@query("""SELECT 'https://shop.example/brands/' || replace(p_brand, '#', '-') AS url, n + 57 AS links_total,
+ '1:shop.example/parts/*:main:' || n || ':false:5:https://shop.example/parts/' || first || '|2:shop.example/nav/*:nav:4:false:4:https://shop.example/nav/a0|3:other.example/p/*:aside:5:true:5:https://other.example/p/q0' AS groups,
+ 40 AS singles, 'home=https://shop.example/|»=https://shop.example/brands/' || replace(p_brand, '#', '-') || '?page=2' AS first_singles, 7 AS omitted, 'footer:7' AS by_region, 'x.com:1' AS denied,
+ '1:div.card:' || n || ':' || chars || ':' || sample || ':shop.example/parts/*' AS repeats, 'https://shop.example/brands/' || replace(p_brand, '#', '-') || '?page=2' AS next_page
+FROM (SELECT p_brand, count(*) AS n, min(p_partkey) AS first, list_sum(cards[1:20])::BIGINT // len(cards[1:20]) AS chars, sample FROM
+  (SELECT p_brand, p_partkey, list(length(p_name) + length(p_type) + 10) OVER w AS cards, first_value(substr(p_name || ' ' || p_type || ' more see', 1, 200)) OVER w AS sample FROM part
+   WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY p_brand, cards, sample HAVING count(*) >= 4)""")
+def outline_parts(spark, sf_dir):
+    """Outlines of generated listings: the order of groups and singles, what is left out, denied links, repeated blocks, next page."""
+    pair = lambda a, b: lambda x: F.concat_ws("=", x[a], x[b])
+    group = lambda g: F.concat_ws(":", *[g[c].cast("string") for c in ("place", "id", "region", "count", "external")], F.size(g["samples"]).cast("string"), F.get(g["samples"], F.lit(0))["url"])
+    block = lambda b: F.concat_ws(":", *[b[c].cast("string") for c in ("place", "selector", "count", "avg_text_chars", "sample_text", "contains")])
+    counts = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return ln.outline(page_facts(outlined_pages(spark, sf_dir), spread=spread(spark))).select(
+        "url", "links_total", F.array_join(F.transform("groups", group), "|").alias("groups"), F.size("singles").alias("singles"), F.array_join(F.transform(F.slice("singles", 1, 2), pair("text", "link")), "|").alias("first_singles"),
+        F.col("omitted").cast("int").alias("omitted"), counts("by_region").alias("by_region"), counts("denied").alias("denied"), F.array_join(F.transform("repeats", block), "|").alias("repeats"), "next_page",
+    )
+
+
 @query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 'https://crm.example/n/' || c_nationkey AS nation FROM customer")
 def detail_spec(spark, sf_dir):
     page = F.concat(F.lit("<html><body><h1> "), _text(F.col("c_name")), F.lit(" </h1><p class='desc seg'>"), _text(F.col("c_mktsegment")), F.lit("<p>x<a class=site href='/n/"), F.col("c_nationkey").cast("string"), F.lit("'>nation</a>"))
@@ -414,11 +449,6 @@ def tokens_by_purpose(spark, sf_dir):
     return policy.tokens_by_purpose(calls)
 
 
-@query("SELECT o_orderpriority AS extractor, o_orderstatus AS health, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
-def run_report(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupingSets([["o_orderpriority"], ["o_orderstatus"], []], "o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n")).select(F.col("o_orderpriority").alias("extractor"), F.col("o_orderstatus").alias("health"), "n")
-
-
 # ---- streams
 
 _NAV_SQL = f"SELECT l.page_id, pos::INTEGER AS item_pos, text AS name, origin || href AS url FROM {_LINKS} l JOIN {_CANONICAL} c ON l.page_id = c.page_id"
