@@ -23,6 +23,14 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def spare(columns: list[str], name: str) -> str:
+    """name, or name with underscores in front, such that none of the columns has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, whatever the optimiser inlines."""
     return F.element_at(F.transform(F.array(value), body), 1)

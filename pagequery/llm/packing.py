@@ -1,17 +1,19 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed length.
+"""Bounded-space online best-fit packing of tokenised documents into sequences of a fixed length.
 
 Tokenising is a map over the documents; from there on only the lengths of pieces
-move. Pieces are dealt by a hash into groups of about GROUP_ROWS, as many as the
-input needs, and each group is packed by itself: its pieces come one by one,
-longest first, and each goes into the open bin with the least free space that
+move. Pieces are dealt by a hash of their row's number into groups of about
+GROUP_ROWS, as many as the input needs, so that no key decides how many rows a task
+gets. A group's pieces arrive one by one in the order of that hash, which is no
+order of lengths, and each goes into the open bin with the least free space that
 still holds it. Open bins hang on a bitset keyed by free space, so the best fit is
 the lowest set bit at or above the length. OPEN_BINS bins may be open; where one
-more is needed, the fullest closes first. A group leaves one badly filled bin or
-so, of thousands.
+more is needed, the fullest closes first. A group leaves some half-filled bins at
+its end, about ten of thousands.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequery.llm.common import materialize, table
+from pagequery.llm.common import materialize, spare, table
 
-GROUP_ROWS, OPEN_BINS, CAPACITY, END = 8192, 4096, 4096, 1
+GROUP_ROWS, OPEN_BINS, CAPACITY, END = 16384, 256, 4096, 1
 #: Words whose ids a worker keeps; those that come later are encoded again where they recur.
 KEPT_WORDS = 500_000
 #: New words to a string, and what parts them.
 TOGETHER, MARK = 256, b"\x01"
 #: Words of these letters, with stops after them, are known by their letters in lower case.
+#: Words of letters of more bytes than these are left to the library, as each merge is a round.
+LONG = 64
 LETTERS, STOPS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), b".,;:!?"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,12 +44,92 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+class Merges:
+    """The merges of a byte-pair vocabulary with word ends, over many words at once.
+
+    Every word is the symbols of its bytes, the last with the end mark. In each round
+    every word that still has a pair of the table merges its pair of least rank, the
+    leftmost of equal ones, and words without one leave; pairs are looked up anew only
+    beside a merge. So a round costs a few passes over arrays, whatever the words.
+    """
+
+    NONE = np.int64(1 << 40)
+
+    def __init__(self, model: str):
+        parts = json.loads(model)["model"]
+        vocab, end = parts["vocab"], parts.get("end_of_word_suffix") or ""
+        # the letters that stand for bytes: printable ones for themselves, the rest from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in parts["merges"]]
+        codes = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.ranks = codes[order], order.astype(np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.ranks[at], self.NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, which isn't empty, as little-endian unsigned 32-bit numbers."""
+        out = [b""] * len(words)
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        symbol, last, names = self.inner[flat], np.cumsum(count) - 1, np.arange(len(words))
+        symbol[last] = self.last[flat[last]]
+        rank = np.full(len(flat), self.NONE)
+        rank[:-1] = self.rank(symbol[:-1], symbol[1:])
+        rank[last] = self.NONE
+        while len(names):
+            first = np.cumsum(count) - count
+            best = np.minimum.reduceat(rank, first)
+            done = best == self.NONE
+            if done.any():
+                whole, n = symbol[np.repeat(done, count)].astype("<u4").tobytes(), 4 * np.cumsum(count[done])
+                for name, a, b in zip(names[done].tolist(), [0, *n[:-1].tolist()], n.tolist(), strict=True):
+                    out[name] = whole[a:b]
+                stay = np.repeat(~done, count)
+                symbol, rank, names, count, best = symbol[stay], rank[stay], names[~done], count[~done], best[~done]
+                if not len(names):
+                    break
+            owner = np.repeat(np.arange(len(names)), count)
+            hits = np.flatnonzero(rank == best[owner])
+            at = hits[np.concatenate([[True], np.diff(owner[hits]) != 0])]
+            symbol[at] = self.made[best]
+            stay = np.ones(len(symbol), bool)
+            stay[at + 1] = False
+            symbol, rank, owner = symbol[stay], rank[stay], owner[stay]
+            count = count - 1
+            at = at - np.arange(len(at))
+            for p in (at[at > 0] - 1, at):
+                right = np.minimum(p + 1, len(symbol) - 1)
+                rank[p] = np.where((right > p) & (owner[right] == owner[p]), self.rank(symbol[p], symbol[right]), self.NONE)
+        return out
+
+
+#: The encoders of this process, by vocabulary: a worker keeps what it knows from task to task.
+_ENCODERS: dict[int, object] = {}
+
+
 def word_encoder(model: str):
+    """The encoder of a vocabulary in this process, made once."""
+    name = zlib.crc32(model.encode())
+    if name not in _ENCODERS:
+        _ENCODERS[name] = _word_encoder(model)
+    return _ENCODERS[name]
+
+
+def _word_encoder(model: str):
     """ids of texts, as bytes of little-endian unsigned 32-bit numbers, word by word.
 
     The tokenizer's own rules part words at white space and never look across it,
     so a text's ids are its words' ids in a row, and each word is encoded once
-    while there is room to keep it. New words are encoded many to a string, parted
+    while there is room to keep it. New words of letters are merged many at once;
+    others, and very long ones, are encoded by the library many to a string, parted
     by a control character whose id tells where the next one begins.
     """
     import os
@@ -53,7 +137,7 @@ def word_encoder(model: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; more threads only hold memory
     from tokenizers import Tokenizer
 
-    tokenizer, known, parts_known = Tokenizer.from_str(model), {}, {}
+    tokenizer, merges, known, parts_known = Tokenizer.from_str(model), Merges(model), {}, {}
     alone = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     mark = alone(MARK.decode())
 
@@ -93,7 +177,9 @@ def word_encoder(model: str):
                 missing.add(tail)
             simple.append((w, low, tail))
         missing.discard(b"")
-        parts_known.update(fresh(list(missing)))
+        short = [w for w in missing if len(w) <= LONG and w[-1] not in STOPS]
+        parts_known.update(zip(short, merges.encode(short), strict=True))
+        parts_known.update(fresh([w for w in missing if len(w) > LONG or w[-1] in STOPS]))
         parts_known[b""] = b""
         for w, low, tail in simple:
             yield w, parts_known[low] + parts_known[tail]
@@ -174,15 +260,16 @@ def best_fit(lengths, capacity: int, open_bins: int) -> tuple[list[int], list[in
 
 
 def pack(found: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """found with sequence_id long and offset long; found needs doc_id, piece, start and length, no more than capacity.
+    """found with sequence_id long and offset long; found needs length, of 1 to capacity, and may have any other columns.
 
-    Columns named sequence_id, offset or _group are replaced. Equal rows are packed
-    each. The order within a group follows from the rows, so a task that is run
-    again packs alike. Empty input gives no rows.
+    Columns named sequence_id or offset are replaced. Equal rows, and rows without an
+    id, are packed each. A task that is run again packs alike, as rows keep their
+    numbers while found is read in the same order. Empty input gives no rows.
     """
-    found = found.drop("sequence_id", "offset", "_group")
+    found = found.drop("sequence_id", "offset")
+    group = spare(found.columns, "_group")
+    turn = spare(found.columns, "_turn")
     groups = max(1, -(-found.count() // group_rows))
-    key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("_group")
     schema = found.select(*found.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,32 +279,37 @@ def pack(found: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BI
             if not held:
                 return
             whole = pa.Table.from_batches(held)
-            group = whole["_group"][0].as_py()
+            number = whole[group][0].as_py()
             bins, offsets = best_fit(whole["length"].to_pylist(), capacity, open_bins)
             # as many bins as pieces at most, so 2^32 a group are enough
-            whole = whole.drop_columns(["_group"]).append_column("sequence_id", pa.array(np.asarray(bins, "i8") + (group << 32))).append_column("offset", pa.array(offsets, pa.int64()))
+            whole = whole.drop_columns([group, turn]).append_column("sequence_id", pa.array(np.asarray(bins, "i8") + (number << 32))).append_column("offset", pa.array(offsets, pa.int64()))
             held.clear()
             yield from whole.to_batches()
 
         for batch in batches:
-            keys = np.asarray(batch["_group"])
+            keys = np.asarray(batch[group])
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if held and held[-1]["_group"][0].as_py() != keys[a]:
+                if held and held[-1][group][0].as_py() != keys[a]:
                     yield from packed()
                 held.append(batch.slice(a, b - a))
         yield from packed()
 
-    keyed = found.select("*", key).repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "start")
-    return keyed.mapInArrow(fill, schema)
+    dealt = found.withColumn(turn, F.xxhash64(F.monotonically_increasing_id())).withColumn(group, F.pmod(F.col(turn), F.lit(groups)))
+    return dealt.repartition(groups, group).sortWithinPartitions(group, turn).mapInArrow(fill, schema)
 
 
 def pack_documents(docs: DataFrame, *, model: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces of docs (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of all pieces of docs (doc_id, text).
+
+    A null or empty text is one piece, the end id. Repeated rows and rows without an
+    id are packed each; an empty table gives no rows; other columns are ignored.
+    """
     return pack(materialize(pieces(docs, model=model, capacity=capacity, end=end)), capacity=capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, as pack_documents() does it."""
     return pack_documents(table(spark, sf_dir, "documents"), model=vocabulary())

@@ -312,3 +312,37 @@ def test_trigram_queries():
     assert query("[0-9a-f]+") is None and query("a.c") is None and query("(x|abc)d") is None
     assert query("abcd") == ("and", ("abc", "bcd")) and query("ab?cde") == ("or", (("and", ("abc", "bcd", "cde")), ("and", ("acd", "cde"))))
     assert query("(foo|bar)+") == ("or", ("bar", "foo"))
+
+
+# ---- merges, clashing names
+
+
+def test_merges_of_many_words_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    model = packing.vocabulary()
+    tokenizer, merges = Tokenizer.from_str(model), packing.Merges(model)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("etaoinshrdlucmfwypvbgkqjxzéßñà"), rng.integers(1, 40))) for _ in range(3000)] + ["a", "aaaaaaaaaa", "banana" * 9, "é"]
+    got = merges.encode([w.encode() for w in words])
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    assert merges.encode([]) == []
+
+
+def test_packing_is_online_and_near_the_floor(spark):
+    rng = np.random.default_rng(6)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1.1, 16384).astype(int) + 1).tolist()
+    bins, _ = packing.best_fit(lengths, 4096, packing.OPEN_BINS)
+    assert max(bins) + 1 <= -(-sum(lengths) // 4096) * 1.005
+    rows = [(None, 0, 0, n, "g", 1, 2) for n in lengths[:3000]]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, _group string, _TURN int, offset long").repartition(3)
+    got = packing.pack(found, group_rows=500)
+    assert got.columns == ["doc_id", "piece", "start", "length", "_group", "_TURN", "sequence_id", "offset"]
+    rows = got.collect()
+    assert sorted(r.length for r in rows) == sorted(lengths[:3000]) and {(r["_group"], r["_TURN"]) for r in rows} == {("g", 1)}
+    sizes = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(sizes) == 6 and max(sizes.values()) < 700  # rows without an id are dealt out like others
+    ends = collections.defaultdict(list)
+    for r in rows:
+        ends[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 4096 and [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] for b in ends.values())
