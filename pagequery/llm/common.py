@@ -68,15 +68,14 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there.
 
-    Unlike checkpoint(), the rows are computed once. keep collects the path, for
-    a caller that drops it before the session ends.
+    Unlike checkpoint(), the rows are computed once. The rows go when the driver
+    ends; keep collects the path, for a caller that drops it before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagequery/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if keep is None:
-        atexit.register(_drop_quietly, spark, path)
-    else:
+    atexit.register(_drop_quietly, spark, path)
+    if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -159,9 +159,12 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, run: int = RUN) -> DataFram
             free = [_signed(1 << i) for i in range(64) if not m >> i & 1]
             flips.append(np.array([0, *(int(np.bitwise_xor.reduce(np.array(c, np.int64))) for r in range(1, radius // 2 + 1) for c in combinations(free, r))], np.int64))
         for batch in batches:
-            t, fp = np.asarray(batch["t"]), np.asarray(batch["a"])
-            for i in range(len(t)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flips[t[i]]), t[i], np.int32)), pa.array(fp[i] ^ flips[t[i]]), pa.array(np.full(len(flips[t[i]]), fp[i]))], ["t", "point", "fp"])
+            ts, fps = np.asarray(batch["t"]), np.asarray(batch["a"])
+            for at in range(0, len(ts), 64):
+                t, fp = ts[at : at + 64], fps[at : at + 64]
+                sizes = [len(flips[i]) for i in t]
+                points = np.concatenate([x ^ flips[i] for i, x in zip(t, fp, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t, sizes), pa.int32()), pa.array(points), pa.array(np.repeat(fp, sizes))], ["t", "point", "fp"])
 
     points = wide.select("t", "a").mapInArrow(near, "t int, point long, fp long")
     least = points.groupBy("t", "point").agg(F.min("fp").alias("b"))

@@ -24,6 +24,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [250_000, 40])
+def test_components_of_many_shapes(spark, chunk):
+    rng = np.random.default_rng(8)
+    edges = [tuple(map(int, rng.integers(0, 400, 2))) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(150)] + [(2000, 2001 + i) for i in range(90)] + [(-5, 3000)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7), chunk=chunk).collect()
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    assert len(got) == len(touched) and {r.node: r.component for r in got} == {x: find(x) for x in touched}
+
+
 # ---- url filter
 
 PAGES = "page_id long, url string, html string, host string, rule string"
