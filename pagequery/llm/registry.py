@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.op1_sql(), "op6_topk": topk.op6_sql()}
+    return {"op1_url_filter": url_filter.op1_sql(), "op6_topk": topk.op6_sql(), "op9_secrets": secrets.op9_sql()}

@@ -21,7 +21,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequery.llm.common import ascii_lower, let, materialize, small_enough, table
+from pagequery.llm.common import ascii_lower, let, materialize, small_enough, spare, table
 
 #: Candidate doc_ids are broadcast up to this number (8 bytes each and a mask); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -214,25 +214,28 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
     return let(found, place)
 
 
-def scan(docs: DataFrame, rules=BASE + MORE, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with a column found: array<struct<start, ord, stop, kind>> by start, then the order of the rules.
+def scan(docs: DataFrame, rules=BASE + MORE, *, broadcast_rows: int = BROADCAST_ROWS, into: str = "found") -> DataFrame:
+    """docs with a column into: array<struct<start, ord, stop, kind>> by start, then the order of the rules.
 
-    docs needs doc_id and text; its other columns stay, but for one named found or
-    rules. A null text has no matches. Rows that share a doc_id, or have none, are
-    searched each by itself. Matches of one rule don't overlap, those of several may.
+    docs needs doc_id and text; its other columns stay, whatever their names, but for
+    one named as into is. A null or empty text has no matches. Rows that share a
+    doc_id, or have none, are searched each by itself, and repeated rows come out
+    each. An empty table gives no rows. Matches of one rule don't overlap, those of
+    several may.
     """
-    docs = docs.drop("found", "rules")
+    docs = docs.drop(into)
     asked = [i for i, r in enumerate(rules) if trigram_query(r.pattern) is not ALL]
     text = F.coalesce(F.col("text"), F.lit(""))
+    mask, name = spare(docs.columns, "rules"), spare(docs.columns, "_of")
     if asked:
-        sets = materialize(candidates(docs, rules))
+        sets = materialize(candidates(docs, rules)).toDF(name, mask)
         # null-safe, as the postings of rows without an id are grouped under null
-        docs = docs.join(F.broadcast(sets) if small_enough(sets, broadcast_rows) else sets, docs["doc_id"].eqNullSafe(sets["doc_id"]), "left").drop(sets["doc_id"])
+        docs = docs.join(F.broadcast(sets) if small_enough(sets, broadcast_rows) else sets, F.col("doc_id").eqNullSafe(F.col(name)), "left")
     parts = []
     for i, r in enumerate(rules):
         found = matches(text, r, i)
-        parts.append(F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, found).otherwise(F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")) if i in asked else found)
-    return docs.withColumn("found", F.array_sort(F.concat(*parts))).drop("rules")
+        parts.append(F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, found).otherwise(F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")) if i in asked else found)
+    return docs.withColumn(into, F.array_sort(F.concat(*parts))).drop(mask, name)
 
 
 def listed(spans: Column) -> Column:
@@ -242,9 +245,12 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, rules=BASE + MORE, *, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark, and n_chars (if there) counted anew; the same rows and columns.
 
-    Overlapping secrets are replaced as one. A text without secrets stays as it is, a null text stays null.
+    Overlapping secrets are replaced as one. A text without secrets stays as it is, a
+    null text stays null. Rows without an id or that share one are redacted each by
+    itself, repeated rows stay repeated, an empty table gives no rows.
     """
     names = docs.columns
+    spans = spare(names, "_found")
 
     def cut(spans: Column) -> Column:
         def add(state: Column, s: Column) -> Column:
@@ -255,15 +261,37 @@ def redact(docs: DataFrame, rules=BASE + MORE, *, mark: str = "[SECRET]") -> Dat
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(spans, start, add, lambda s: F.concat(F.array_join(s["out"], ""), F.col("text").substr(s["at"] + 1, F.char_length(F.col("text")))))
 
-    new = F.when(F.size("found") > 0, cut(F.col("found"))).otherwise(F.col("text"))
-    out = scan(docs, rules).withColumn("text", new)
+    new = F.when(F.size(spans) > 0, cut(F.col(spans))).otherwise(F.col("text"))
+    out = scan(docs, rules, into=spans).withColumn("text", new)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*names)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base secrets, a digest of their places and the list of all spans for every whole document; null texts are empty."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("found", lambda s: s["ord"] < len(BASE))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def op9_sql(rules=BASE + MORE) -> str:
+    """The same in DuckDB: texts between matches give their places, as in matches()."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for i, r in enumerate(rules):
+        pattern = q(("(?i)" if r.fold else "") + r.pattern)
+        kept = f"length(regexp_extract(m, {pattern}, {r.group})) >= {r.least}"
+        parts.append(f"""SELECT n, start, {i} AS ord, start + length(m) AS stop, {q(r.kind)} AS kind FROM (
+  SELECT n, m, coalesce(sum(length(gap) + length(before)) OVER w, 0)::BIGINT AS start FROM (
+    SELECT n, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(list_prepend('', ms)[1:len(ms)]) AS before, generate_subscripts(ms, 1) AS turn FROM (
+      SELECT n, regexp_extract_all(text, {pattern}) AS ms, string_split_regex(text, {pattern}) AS gaps FROM texts) WHERE len(ms) > 0)
+  WINDOW w AS (PARTITION BY n ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE {kept}""")
+    base = f"ord < {len(BASE)}"
+    listed_ = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord)"
+    counts = ", ".join(f"count(*) FILTER (kind = {q(r.kind)}) AS n_{r.kind}" for r in BASE)
+    return f"""WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+said AS (SELECT n, {counts}, coalesce({listed_} FILTER ({base}), '') AS base, {listed_} AS spans FROM spans GROUP BY n)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN said USING (n)"""

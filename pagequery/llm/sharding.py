@@ -7,10 +7,10 @@ number of shards is the shard. Appending a shard moves just the keys that jump
 into it, 1/(n+1) of them.
 
 Slots number the rows of each shard from 0 without gaps. A shard may hold
-billions of rows, so no task sorts a whole shard: rows are ranked within
-(shard, bucket of the key's hash) and shifted by the number of rows in the
-shard's earlier buckets. That table of counts has shards x buckets rows at most,
-whatever the input, and is broadcast.
+billions of rows, and one key a third of them, so no task sorts a shard or a key:
+rows are written with a number, ranked within (shard, bucket of the number's hash)
+and shifted by the number of rows in the shard's earlier buckets. That table of
+counts has shards x buckets rows at most, whatever the input, and is broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequery.llm.common import table
+from pagequery.llm.common import materialize, spare, table
 
 BUCKETS = 1024
 
@@ -50,17 +50,19 @@ def shard(rows: DataFrame, key: str, shards: int, *, buckets: int = BUCKETS) ->
     equal keys share a shard and get different slots. A null key is a key like
     any other. Empty input gives no rows.
     """
-    names = [c for c in rows.columns if c not in ("shard", "slot", "grown_shard")]
-    put = lambda df: df.withColumn("_shard", jump_hash(F.col(key), shards)).withColumn("_bucket", F.pmod(F.xxhash64(F.col(key), F.lit("slot")), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = put(rows.select(key)).groupBy("_shard", "_bucket").count()
-    starts = counts.select("_shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_shard", "_bucket").orderBy(key)
-    ranked = put(rows.select(*names)).withColumn("_rank", F.row_number().over(within))
-    return ranked.join(F.broadcast(starts), ["_shard", "_bucket"]).select(
+    names = [c for c in rows.columns if c.lower() not in ("shard", "slot", "grown_shard")]
+    at, bucket, number, start, rank = (spare(rows.columns, c) for c in ("_shard", "_bucket", "_number", "_start", "_rank"))
+    # written, as both the counts and the ranks must see the same numbers
+    dealt = materialize(rows.select("*", jump_hash(F.col(key), shards).alias(at), F.monotonically_increasing_id().alias(number)))
+    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(number), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(at).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(at, bucket).agg(F.count(F.lit(1)).alias(start))
+    starts = counts.select(at, bucket, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(at, bucket).orderBy(number)))
+    return ranked.join(F.broadcast(starts), [at, bucket]).select(
         *names,
-        F.col("_shard").alias("shard"),
-        (F.col("_start") + F.col("_rank") - 1).cast("bigint").alias("slot"),
+        F.col(at).alias("shard"),
+        (F.col(start) + F.col(rank) - 1).cast("bigint").alias("slot"),
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
     )
 

@@ -11,8 +11,9 @@ it with ordinary words. Statistics of the windows' differences give the score
 through a logistic curve, fitted on half of the sampled rows that the dictionaries
 haven't seen, and its threshold is part of the fit.
 
-Training takes a bounded sample of labelled rows on the driver (SAMPLE rows of each
-label, by a hash of the id, and SAMPLE_CHARS characters of each from a hashed place).
+Training takes a bounded sample of labelled rows on the driver: SAMPLE rows of each
+label at most, by a hash of the id, with their whole texts, and SAMPLE_CHARS characters
+in all; a row whose text would go beyond that is passed over.
 Scoring is a map over all rows and whole texts.
 """
 
@@ -29,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequery.llm.common import table
+from pagequery.llm.common import spare, table
 
-SAMPLE, SAMPLE_CHARS = (4000, 8000), 8000
+SAMPLE, SAMPLE_CHARS = (4000, 8000), 64_000_000
 WINDOW, RUN, LEVEL = 64, 5, 3
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 4096
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -69,7 +70,7 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary's content; where the samples are too few to train on, they are it."""
+    """A dictionary's content. zstandard can't train on few samples; those are the content themselves then."""
     import zstandard
 
     if sum(map(len, samples)) > 10 * size and len(samples) > 20:
@@ -161,9 +162,10 @@ def train(rows: list[tuple[str, int]], odds: float | None = None) -> Model | Non
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float | None]:
-    """The bounded training sample, and the odds of toxic rows among all that it comes from.
+    """The bounded training sample of whole texts, and the odds of toxic rows among all that it comes from.
 
-    It has up to SAMPLE[1] ordinary and SAMPLE[0] toxic rows of labels that aren't held out, in the order of a hash.
+    It has up to SAMPLE[1] ordinary and SAMPLE[0] toxic rows of labels that aren't held
+    out, in the order of a hash, and SAMPLE_CHARS characters in all at most.
 
     An id with several labels counts as toxic if one says so; null labels are left out.
     """
@@ -173,24 +175,33 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], f
     if not ids:
         return [], None
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, int(r.toxic)) for r in ids], "doc_id long, y int")
-    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1)))
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").substr(start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"), "y")
+    spark = docs.sparkSession
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    take = lambda rows: own.join(F.broadcast(spark.createDataFrame(rows, "doc_id long, y int")), "doc_id")  # noqa: E731  at most SAMPLE rows
+    labelled = [(r.doc_id, int(r.toxic)) for r in ids]
     # rows that repeat an id give one row of the sample
-    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    sizes = {r.doc_id: r.n for r in take(labelled).groupBy("doc_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n")).collect()}
+    chosen, room = [], SAMPLE_CHARS
     # neither order nor label may follow from the place in the list
-    shuffled = [(r.text, r.y) for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r.doc_id), r.doc_id))]
-    return shuffled, n[1] / n[0] if n.get(0) and n.get(1) else None
+    for i, y in sorted(labelled, key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0])):
+        if i in sizes and sizes[i] <= room:
+            room -= sizes[i]
+            chosen.append((i, y))
+    if not chosen:
+        return [], None
+    texts = {r.doc_id: r.text for r in take(chosen).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [(texts[i], y) for i, y in chosen], n[1] / n[0] if n.get(0) and n.get(1) else None
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a column toxicity double, 0 to 1, from whole texts; an old one is replaced.
+def score(docs: DataFrame, model: Model | None, *, into: str = "toxicity") -> DataFrame:
+    """docs with a column into double, 0 to 1, from whole texts; an old one of that name is replaced, all others stay.
 
-    A null or empty text is one empty window. Without a model every score is 0.
+    A null or empty text is one empty window. Repeated rows and rows without an id are
+    scored each. Without a model every score is 0. An empty table gives no rows.
     """
-    docs = docs.drop("toxicity")
+    docs = docs.drop(into)
     if model is None:
-        return docs.withColumn("toxicity", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,21 +212,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             at = batch.schema.get_field_index("text")
             x = np.array([features(words_of(t.as_py())) for t in batch.column(at)], float).reshape(-1, len(weights) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, into])
 
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
+    schema = docs.withColumn(into, F.lit(0.0)).schema
     return docs.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose toxicity is below threshold, with all their columns. A null text is kept, as an empty one scores low."""
-    names = docs.columns
-    own = docs.withColumnsRenamed({"toxicity": "_toxicity"}) if "toxicity" in names else docs
-    kept = score(own, train(*sample(docs, labels))).filter(F.col("toxicity") < threshold).drop("toxicity")
-    return kept.withColumnsRenamed({"_toxicity": "toxicity"}).select(*names)
+    """The rows of docs whose toxicity is below threshold, with all their columns, whatever their names.
+
+    A null text is kept, as an empty one scores low. Repeated rows and rows without an
+    id are judged each. Without labels of both kinds all rows stay.
+    """
+    into = spare(docs.columns, "_toxicity")
+    return score(docs, train(*sample(docs, labels)), into=into).filter(F.col(into) < threshold).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a prediction for every whole document, by a model of labels that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     scored = score(docs, train(*sample(docs, labels)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -365,3 +365,58 @@ def test_packing_is_online_and_near_the_floor(spark):
     for r in rows:
         ends[r.sequence_id].append((r.offset, r.length))
     assert all(sum(n for _, n in b) <= 4096 and [o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] for b in ends.values())
+
+
+def test_jump_hash_is_the_published_walk(spark):
+    import struct
+
+    def walk(key, shards):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        at, to, i = 0, 0, 0
+        while to < shards:
+            drawn = (xxhash.xxh64(struct.pack("<i", i), seed=seed).intdigest() >> 33) + 1
+            at, to, i = to, int((to + 1) * float(1 << 31) / drawn), i + 1
+        return at
+
+    keys = [None, 0, 1, -1, 2**62, *range(500, 900)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for shards in (1, 8, 9, 40):
+        assert [r.s for r in rows.select(sharding.jump_hash(rows.k, shards).alias("s")).collect()] == [walk(k, shards) for k in keys]
+
+
+def test_sharding_splits_a_hot_key_and_keeps_columns(spark):
+    rows = spark.createDataFrame([(7, i, "s", "r") for i in range(300)] + [(None, i, "s", "r") for i in range(50)], "k long, _shard long, _RANK string, _bucket string").repartition(3)
+    got = sharding.shard(rows, "k", 4, buckets=16)
+    assert got.columns == ["k", "_shard", "_RANK", "_bucket", "shard", "slot", "grown_shard"]
+    found = collections.defaultdict(list)
+    for r in got.collect():
+        found[r.shard].append(r.slot)
+        assert (r["_RANK"], r["_bucket"]) == ("s", "r")
+    assert all(sorted(x) == list(range(len(x))) for x in found.values()) and sum(map(len, found.values())) == 350
+    assert sorted(r._shard for r in got.collect()) == sorted([*range(300), *range(50)])
+
+
+def test_secrets_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(None, SECRETS[0], 1, "f", "o"), (3, SECRETS[1], 2, "f", "o"), (3, SECRETS[1], 2, "f", "o")], "doc_id long, text string, rules long, _found string, _of string").repartition(2)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted((r.rules, r._found, r._of) for r in rows) == [(1, "f", "o"), (2, "f", "o"), (2, "f", "o")]
+    assert all("[SECRET]" in r.text for r in rows)
+    assert secrets.scan(docs).columns == [*docs.columns, "found"]
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_secrets_sql(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate([*SECRETS, "a" * 50, "\U0001f600 é " + SECRETS[1]])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = con.execute(secrets.op9_sql()).fetchall()
+    assert len(found) == len(rows)
+    for doc_id, *counts, digest, spans in found:
+        want = slow_spans(rows[doc_id][1])
+        assert spans == ",".join(s[2] for s in want) and counts == [sum(s[1] == i for s in want) for i in range(3)]
+        assert digest == hashlib.sha256(",".join(s[2] for s in want if s[1] < 3).encode()).hexdigest()

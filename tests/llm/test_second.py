@@ -261,6 +261,27 @@ def test_toxicity_edges(spark):
     assert b"".join(parts).replace(b" ", b"") == b"a" * 200 + b"b" and toxicity.windows([]) == [b" "]
 
 
+def test_toxicity_keeps_columns_of_any_name(spark):
+    rows = [(i if i % 4 else None, t, 1.5, "u") for i, (t, _) in enumerate(toxic_rows(40, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity double, _toxicity string")
+    labels = spark.createDataFrame([(i, 0, y) for i, (_, y) in enumerate(toxic_rows(40, 5))], "doc_id long, quality int, toxic int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and 0 < kept.count() <= 40
+    assert {(r.toxicity, r._toxicity) for r in kept.collect()} == {(1.5, "u")}
+    assert toxicity.keep_clean(no_documents(spark), labels).count() == 0
+
+
+def test_toxicity_samples_whole_texts_within_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (100 * i), 0) for i in range(1, 30)] + [(5, "y", 0)], "doc_id long, text string, other int")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 40)] + [(50, 0, None)], "doc_id long, quality int, toxic int")
+    whole, odds = toxicity.sample(docs, labels)
+    trained = [i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(len(t) for t, _ in whole) == sorted(100 * i for i in trained) and odds > 0
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 5000)
+    some, _ = toxicity.sample(docs, labels)
+    assert 0 < len(some) < len(whole) and sum(len(t) for t, _ in some) <= 5000 and all(len(t) % 100 == 0 for t, _ in some)
+
+
 def test_toxicity_query(spark):
     rows = toxicity.op10_toxicity(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
