@@ -11,6 +11,9 @@ share) meet the scores (kind, host, score) in a join, and a sum by (kind, host)
 with partial aggregation gives the next scores. Links are counted per pair of
 hosts before anything else, so a page or host with very many links costs one row
 for each pair. Each round is written to the shared folder, which cuts the lineage.
+Scores start at what the seeds give and only grow, so a round's summed change is the
+difference of two sums; rounds end when no new host is reached and that change is
+within TOLERANCE of the sum.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequery.llm.common import ascii_lower, materialize, table
+from pagequery.llm.common import ascii_lower, drop_path, materialize, table
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 LINK = r"""(?i)\bhref[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?[\x20\x09-\x0D]*(?:https?:)?//([^/?#"'<>\x20\x09-\x0D]+)"""
-ROUNDS, DAMPING, THRESHOLD = 10, 0.85, 1.0
+TOLERANCE, MOST_ROUNDS, DAMPING, THRESHOLD = 1e-4, 500, 0.85, 1.0
+#: Rounds of the SQL, after which 0.85^60 = 0.006 % of the mass at most is still to spread.
+SQL_ROUNDS = 60
 
 
 def host_of(url: Column) -> Column:
@@ -69,16 +74,29 @@ def arcs_of(links: DataFrame) -> DataFrame:
     return both.join(totals, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("total")).alias("share"))
 
 
-def propagate(arcs: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, score) after so many rounds from seeds of the same columns. Hosts that nothing reaches have no row."""
+def propagate(arcs: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(kind, host, score) at the fixpoint, from seeds of the same columns. Hosts that nothing reaches have no row.
+
+    arcs and seeds are read in every round. A graph that hasn't settled after
+    most_rounds, which a chain of as many hosts would need, raises an error.
+    """
+    spark = seeds.sparkSession
     jump = seeds.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
     if arcs.isEmpty():
         return jump
-    scores = seeds
-    for _ in range(rounds):
+    state = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+    scores, paths, before = jump, [], state(jump)
+    for _ in range(most_rounds):
         flow = arcs.join(scores.withColumnRenamed("host", "source"), ["kind", "source"]).select("kind", F.col("target").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
-        scores = materialize(flow.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score")))
-    return scores
+        scores = materialize(flow.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score")), paths)
+        for path in paths[:-1]:
+            drop_path(spark, path)
+        del paths[:-1]
+        now = state(scores)
+        if now[0] == before[0] and now[1] - before[1] <= tolerance * now[1]:
+            return scores
+        before = now
+    raise RuntimeError(f"scores haven't settled after {most_rounds} rounds")
 
 
 def blocked_hosts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -90,7 +108,7 @@ def blocked_hosts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sums.filter(F.col("distrust") > F.col("trust") * threshold)
 
 
-def judge(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, *, damping: float = DAMPING, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html).
 
     A null url, or one without ://, has an empty host and path, no rule, and is
@@ -107,16 +125,17 @@ def judge(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS, damping: float
     seeds = materialize(
         shares.selectExpr("host", "stack(2, 'trust', trust / n, 'distrust', distrust / n) as (kind, score)").filter("score > 0").select("kind", "host", "score")
     )
-    scores = propagate(materialize(arcs_of(host_links(pages))), seeds, rounds=rounds, damping=damping)
+    scores = propagate(materialize(arcs_of(host_links(pages))), seeds, damping=damping, tolerance=tolerance)
     blocked = materialize(blocked_hosts(scores, threshold).select("host", F.lit("block").alias("by_host")))
     return read.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce(ruled, F.col("by_host"), F.lit("allow")).alias("verdict"))
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for the url of every page, by the rules and else by what has spread to its host."""
     return judge(table(spark, sf_dir, "pages"))
 
 
-def op1_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
+def op1_sql(rules=RULES, rounds: int = SQL_ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD) -> str:
     """The same in DuckDB, the rounds unrolled."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     cases, verdicts = [], []
@@ -129,14 +148,14 @@ def op1_sql(rules=RULES, rounds: int = ROUNDS, damping: float = DAMPING, thresho
     steps = "".join(
         f""", s{i + 1} AS MATERIALIZED (SELECT kind, host, sum(score) AS score FROM (
   SELECT a.kind, a.target AS host, a.share * s.score * {damping} AS score FROM arcs a JOIN s{i} s ON a.kind = s.kind AND a.source = s.host
-  UNION ALL SELECT kind, host, score * {1 - damping} FROM s0) GROUP BY ALL)"""
+  UNION ALL SELECT kind, host, score FROM s0) GROUP BY ALL)"""
         for i in range(rounds)
     )
     return f"""WITH parts AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
 ruled AS (SELECT page_id, host, path, html, CASE {" ".join(cases)} END AS rule FROM parts),
 judged AS (SELECT page_id, host, path, html, rule, CASE rule {" ".join(verdicts)} END AS verdict FROM ruled),
 shares AS (SELECT host, count(*) AS n, count(*) FILTER (verdict = 'allow') AS t, count(*) FILTER (verdict = 'block') AS d FROM judged WHERE host <> '' GROUP BY host),
-s0 AS MATERIALIZED (SELECT 'trust' AS kind, host, t / n AS score FROM shares WHERE t > 0 UNION ALL SELECT 'distrust', host, d / n FROM shares WHERE d > 0),
+s0 AS MATERIALIZED (SELECT 'trust' AS kind, host, {1 - damping} * t / n AS score FROM shares WHERE t > 0 UNION ALL SELECT 'distrust', host, {1 - damping} * d / n FROM shares WHERE d > 0),
 found AS (SELECT host AS source, {low("unnest(list_distinct(regexp_extract_all(html, " + q(LINK) + ", 1)))")} AS target FROM judged),
 links AS (SELECT source, target, count(*) AS n FROM found WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
 both_ways AS (SELECT 'trust' AS kind, source, target, n FROM links UNION ALL SELECT 'distrust', target, source, n FROM links),

@@ -104,6 +104,53 @@ def test_trust_and_distrust_follow_the_links(spark):
     assert (got[6] == "block") == bool(d[at["bad.org"]] > t[at["bad.org"]])
 
 
+def test_scores_settle_on_long_chains_and_hot_hosts(spark):
+    rng = np.random.default_rng(12)
+    hosts = [f"h{i}" for i in range(60)]
+    links = collections.Counter()
+    for i in range(14):
+        links[f"h{i}", f"h{i + 1}"] += 1  # a chain of more hosts than ten rounds walk
+    for i in range(15, 50):
+        links[f"h{i}", "h55"] += int(rng.integers(1, 4))  # a host that most link to
+        links["h55", f"h{i}"] += 1
+    for _ in range(40):
+        a, b = (int(x) for x in rng.integers(15, 60, 2))
+        if a != b:
+            links[f"h{a}", f"h{b}"] += 1
+    seeds = [("trust", "h20", 1.0), ("trust", "h0", 0.5), ("distrust", "h14", 1.0), ("distrust", "h55", 0.25)]
+    arcs = url_filter.arcs_of(spark.createDataFrame([(a, b, n) for (a, b), n in links.items()], "source string, target string, n long")).cache()
+    got = {(r.kind, r.host): r.score for r in url_filter.propagate(arcs, spark.createDataFrame(seeds, "kind string, host string, score double"), tolerance=1e-6).collect()}
+    at = {h: i for i, h in enumerate(hosts)}
+    w = np.zeros((60, 60))
+    for (a, b), n in links.items():
+        w[at[a], at[b]] = n
+    for kind, m in (("trust", w), ("distrust", w.T)):
+        share = m / np.maximum(m.sum(1, keepdims=True), 1)
+        s = np.zeros(60)
+        for k, h, x in seeds:
+            s[at[h]] += 0.15 * x * (k == kind)
+        want = np.linalg.solve(np.eye(60) - 0.85 * share.T, s)
+        assert all(got.get((kind, h), 0.0) == pytest.approx(want[at[h]], abs=2e-5) for h in hosts)
+        assert {h for k, h in got if k == kind} == {h for h in hosts if want[at[h]] > 0}
+    assert got["distrust", "h0"] > 0
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(arcs, spark.createDataFrame(seeds, "kind string, host string, score double"), most_rounds=2)
+
+
+def test_url_filter_sql_of_linked_pages(spark):
+    import duckdb
+
+    rng = np.random.default_rng(13)
+    hosts = [f"{'ab'[i % 2]}{i}.{'org' if i % 5 == 0 else 'net' if i % 5 == 1 else 'x'}" for i in range(30)]
+    pages = [(n, f"http://{h}/{['es', 'de', 'fr'][n % 3]}/{n}", "".join(f'<a href="//{hosts[int(j)]}/x">' for j in rng.integers(0, 30, 3))) for n in range(120) for h in [hosts[int(rng.integers(0, 30)) if n % 3 else 0]]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.op1_sql()})").fetchall(), key=str)
+    got = sorted(map(tuple, url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), tolerance=1e-6).collect()), key=str)
+    assert got == want and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 # ---- simhash
 
 
