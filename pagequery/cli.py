@@ -1,4 +1,4 @@
-"""Command line: probe, expand, fetch, sitemap, text, extract, export, runs, report, status, prune."""
+"""Command line: probe, expand, fetch, sitemap, text, extract, synthesize, run, export, runs, report, status, prune."""
 
 from __future__ import annotations
 
@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pagequery.config import Settings
 from pagequery.operators import extract as ex
 from pagequery.operators import links as ln
-from pagequery.operators.facts import page_facts, page_texts
+from pagequery.operators.facts import page_facts, page_texts, prune
 from pagequery.operators.policy import over_cap
 from pagequery.plans.engine import Engine
+from pagequery.plans.model import Backend, Meter, Model
+from pagequery.plans.program import spec_prompt
 from pagequery.sources import sitemaps
 from pagequery.sources.fetch import Fetcher, HttpTransport, Transport
 from pagequery.sources.store import Store, lines
@@ -54,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("objective")
     x.add_argument("urls", nargs="+")
     x.add_argument("--fields", default="")
+    x = sub.add_parser("synthesize")
+    x.add_argument("urls", nargs="+")
+    x.add_argument("--fields", required=True)
     for name in ("export", "report"):
         sub.add_parser(name).add_argument("--run", required=True)
     sub.add_parser("runs")
@@ -62,12 +67,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None, transport: Transport | None = None, out=None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, transport: Transport | None = None, out=None, backend: Backend | None = None) -> int:
     args, out = parser().parse_args(argv), out or sys.stdout
     spark = spark or SparkSession.builder.appName("pagequery").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     settings = Settings(max_age_days=args.max_age, cap_per_domain=args.cap_per_domain, cap_pages_run=args.cap_pages, cap_paginate=args.cap_paginate, respect_robots=not args.ignore_robots)
     store = Store(spark, args.store)
-    fetcher = Fetcher(store, transport or HttpTransport(settings.request_timeout), settings=settings)
+    warn = lambda x: print(x, file=sys.stderr)
+    fetcher = Fetcher(store, transport or HttpTransport(settings.request_timeout), settings=settings, notice=warn)
     say = lambda x: print(x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, default=str), file=out)
     if args.command in ("probe", "expand", "text"):
         page = fetcher.fetch([args.url]).persist()
@@ -101,7 +107,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
         for r in ex.extract(pages, spec, base="final_url").select("url", F.to_json("data").alias("data")).toLocalIterator():
             say({**json.loads(r.data), "_source": r.url})
     elif args.command == "run":
-        say(Engine(store, fetcher, None, settings).run(args.objective, args.urls, [f for f in args.fields.split(",") if f]))
+        say(Engine(store, fetcher, Model(backend, Meter(settings.budget_tokens)) if backend else None, settings).run(args.objective, args.urls, [f for f in args.fields.split(",") if f]))
     elif args.command == "export":
         for x in lines(store.records(args.run)):
             say(x)
@@ -113,8 +119,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, trans
             say(r.asDict())
     elif args.command == "status":
         say({"counts": store.counts(), "pages_by_health": {r.health: r["count"] for r in store.pages_by_health().collect()}})
+    elif args.command == "synthesize":
+        if backend is None:
+            warn("synthesize needs a model: call main() with a backend")
+            return 2
+        pages = fetcher.fetch(args.urls, allow_render=False).filter("html is not null").orderBy("seq").collect()  # samples, two of which are shown to the model
+        made = ex.Spec.read(Model(backend).ask_json(spec_prompt([f for f in args.fields.split(",") if f], [prune(p.html, settings.synth_html_cap) for p in pages[:2]], ""), "spec", "synthesize"))
+        for p in pages[:1]:
+            ex.validate(made, p.html)
+        say(json.loads(made.json()))
     else:
         say({"deleted": store.prune_pages(args.days)})
+    for line in fetcher.summary():
+        warn(line)
     return 0
 
 

@@ -26,11 +26,6 @@ def domain_cap(attempts: DataFrame, cap: int, *, counts: Column | None = None) -
     return attempts.withColumn("capped", counts & (before > cap))
 
 
-def group_cap(members: DataFrame, cap: int, *, by: str = "gk") -> DataFrame:
-    """members with fanned_out: whether among the first cap of the group, by seq."""
-    return members.withColumn("fanned_out", F.row_number().over(Window.partitionBy(by).orderBy("seq")) <= cap)
-
-
 def running_budget(rows: DataFrame, amount: Column, budget: int, *, by: str | None = None, blocks: int = 1024) -> DataFrame:
     """rows (seq, ...) with spent (up to and with this row) and within, by seq.
 
@@ -114,10 +109,6 @@ def render_breaker_forced(attempts: DataFrame, settings: Settings = Settings())
     return attempts.groupBy("domain").applyInPandas(run, schema)
 
 
-def render_stats(attempts: DataFrame) -> DataFrame:
-    return attempts.filter("rendered").groupBy("domain").agg(F.count(F.lit(1)).alias("renders"), F.count_if("soft").alias("soft_404s"))
-
-
 def cap_summary(outcomes: DataFrame) -> DataFrame:
     """(domain, reason, n, message): tallies of attempts not made, by domain and reason (domain_capped, render_skipped, render_broken)."""
     said = F.when(F.col("reason") == "domain_capped", F.lit("%s: %d pages beyond the cap of the domain")).when(F.col("reason") == "render_skipped", F.lit("%s: %d renders beyond the budget")).otherwise(F.lit("%s: %d renders not made, most pages there are gone"))

@@ -20,6 +20,7 @@ from pagequery.functions import health, urls
 from pagequery.operators import extract as ex
 from pagequery.operators import links as ln
 from pagequery.operators.facts import page_facts, prune
+from pagequery.operators.policy import first_per
 from pagequery.plans.model import BudgetExceeded, Model
 from pagequery.plans.program import Program, Step, plan_prompt, read_prompt, spec_prompt, validate
 from pagequery.sources.fetch import Fetcher
@@ -40,6 +41,8 @@ class Engine:
         self.clamps: list[str] = []
         self.extractors: Counter = Counter()
         self.specs_made = 0
+        #: pages that a reader took for mere ways to others
+        self.hubs: set[str] = set()
 
     # ---- pages
 
@@ -61,7 +64,7 @@ class Engine:
     def look(self, pages: DataFrame) -> None:
         """Outline one page of each template, offer what it links to, and keep the outlines for the next plan."""
         facts = page_facts(pages.select("seq", "url", "status", "health", "html")).persist()
-        first = ln.outline(facts.withColumn("_t", urls.template_key(F.col("url"))).withColumn("_r", F.row_number().over(_by("_t", "seq"))).filter("_r = 1").drop("_t", "_r"), self.settings)
+        first = ln.outline(first_per(facts.withColumn("_t", urls.template_key(F.col("url"))), ["_t"], ["seq"]), self.settings)
         rows = [json.loads(x) for (x,) in first.select(F.to_json(F.struct("*"))).limit(self.settings.outlines_per_plan + 1).collect()]
         if len(rows) > self.settings.outlines_per_plan:
             self.notes.append("further outlines were left out of the plan")
@@ -157,6 +160,8 @@ class Engine:
         for p in pages.select("url", F.substring("main_text", 1, self.settings.extract_text_cap).alias("text"), F.array_join("jsonld", "\n").alias("sd"), "links").collect():
             found = [f"{x.text}: {x.href}" for x in p.links if x.region not in ("nav", "footer")]
             answer = self.model.ask_json(read_prompt(fields, p.text, p.sd, found), "read", "extract") or {}
+            if answer.get("needs_navigation"):
+                self.hubs.add(p.url)
             out += [(p.url, i, {f: None if r.get(f) in ("", None) else str(r[f]) for f in fields}) for i, r in enumerate(answer.get("records") or []) if isinstance(r, dict)]
         return self.save(run_id, self.spark.createDataFrame(out, "url string, item_pos int, data map<string,string>"), "model") if out else 0
 
@@ -194,22 +199,28 @@ class Engine:
         return report
 
     def _fast(self, run_id: str, fields: list[str]) -> str | None:
-        """Pages that carry structured data for the fields need no plan."""
+        """A few start pages are read at once: structured data first, then the model. A plan follows if any only leads elsewhere or nothing was found."""
         if len(self.batches["start"]) > self.settings.fast_path_pages or not fields:
             return None
-        pages = self.pages_of("start")
-        found = ex.linked_data(pages, fields).persist()
-        if found.count() and found.count() == pages.count():
-            self.save(run_id, found, "structured_data")
-            return "done"
-        return None
+        pages = page_facts(self.pages_of("start").select("url", "final_url", "domain", "html").withColumn("_html", F.col("html"))).withColumnRenamed("_html", "html").persist()
+        linked = ex.linked_data(pages, fields).persist()
+        left = pages.join(linked.select("url"), "url", "left_anti")
+        saved = 0
+        if self.model is not None or left.isEmpty():
+            saved = self.save(run_id, linked, "structured_data") + self.read(run_id, left, fields)
+        pages.unpersist()
+        starts = self.hubs & set(self.batches["start"])
+        if starts or not saved:
+            self.notes.append(f"the start pages weren't enough: {saved} records, {len(starts)} pages lead elsewhere")
+            return None
+        return "done"
 
     def _cycles(self, run_id: str, objective: str, fields: list[str]) -> str:
         if self.model is None:
             return "no_planner"
         dry = 0
         for _ in range(self.settings.max_cycles):
-            answer = self.model.ask_json(plan_prompt(objective, fields, self.state(run_id), self.outlines), "plan", "plan")
+            answer = self.model.ask_json(plan_prompt(objective, fields, self.state(run_id), self.outlines, self.settings), "plan", "plan")
             self.outlines = []
             program: Program = validate(answer, set(self.batches), self.offered, fields, self.settings)
             self.clamps += program.clamps
@@ -252,12 +263,7 @@ class Engine:
         meter = self.model.meter if self.model else None
         return {
             "run_id": run_id, "state": state, "reason": reason, "records": self.store.records(run_id).count(), "by_extractor": dict(self.extractors), "pages_by_health": dict(Counter(self.health.values())),
-            "clamps": self.clamps, "notes": self.notes, "fetches": self.fetcher.fetches, "renders": self.fetcher.renders, "cache_hits": self.fetcher.cache_hits, "specs_made": self.specs_made,
+            "clamps": self.clamps, "notes": [*self.notes, *self.fetcher.summary()], "fetches": self.fetcher.fetches, "renders": self.fetcher.renders, "cache_hits": self.fetcher.cache_hits, "specs_made": self.specs_made,
             "model_calls": meter.calls if meter else 0, "tokens": [meter.tokens_in, meter.tokens_out] if meter else [0, 0], "tokens_by_purpose": meter.by_purpose if meter else {},
         }
 
-
-def _by(partition: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(partition).orderBy(order)

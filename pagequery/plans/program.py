@@ -43,7 +43,8 @@ def _whole(value: Any, default: int) -> int:
 def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str], settings: Settings = Settings()) -> Program:
     """The steps of a plan that may run, and a note for all that was lowered or dropped.
 
-    prev names the batch of the latest fetch step of the plan. done ends it.
+    from names the batch that a step reads: start where it is missing; prev stands for
+    the batch of the latest fetch step of the plan. done ends it.
     """
     out, latest = Program(), ""
     steps = plan.get("steps") if isinstance(plan, dict) else None
@@ -51,11 +52,11 @@ def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str],
         if n >= settings.max_steps_per_plan:
             out.clamps.append(f"only the first {settings.max_steps_per_plan} steps count")
             break
-        kind = raw.get("do") or raw.get("kind") if isinstance(raw, dict) else None
+        kind = raw.get("do") or raw.get("step") or raw.get("kind") if isinstance(raw, dict) else None
         if kind not in KINDS:
             out.clamps.append(f"dropped: {str(raw)[:120]}")
             continue
-        source = raw.get("from") or "prev"
+        source = raw.get("from") or "start"
         source = latest if source == "prev" and latest else source
         known = source in batches or source in {s.label for s in out.steps if s.label}
         named = [str(f) for f in raw.get("fields") or fields]
@@ -93,13 +94,32 @@ def validate(plan: Any, batches: set[str], offered: set[str], fields: list[str],
     return out
 
 
-def plan_prompt(objective: str, fields: list[str], state: dict, outlines: list[dict]) -> str:
-    return f"Objective: {objective}\nFields: {', '.join(fields)}\nState: {state}\nPages:\n" + "\n".join(map(str, outlines)) + "\nAnswer with JSON: {\"steps\": [...]}, each step one of fetch, fetch_group, extract, enrich, done."
+#: What a planner must know of the language: every key that validate() reads.
+PLAN_RULES = """You decide which pages a crawl fetches and when records are read from them; code does both.
+Answer with JSON alone: {"steps": [...]}, at most %d steps, each an object with the key "do":
+{"do": "fetch", "urls": [addresses]}: fetch these pages. Only addresses that the outlines below show, or pages fetched before, are let through.
+{"do": "fetch_group", "from": batch, "group": id of a link group, "cap": number, "paginate": true or false}: fetch the pages that a batch's pages link to in this group (* for all links); with paginate, of their next pages too.
+{"do": "extract", "from": batch, "fields": [names], "mode": "auto" or "llm"}: read records from a batch's pages. auto uses structured data, then one spec for each layout; llm reads page by page.
+{"do": "enrich", "from": batch, "url_field": name}: fetch the page that this field of each record names, and attach its title and description.
+{"do": "done", "reason": text}: nothing more is needed, or can be had.
+"from" is "start" (as when it is left out), the label of a batch in the state, or "prev" for the batch of the step before.
+Denied links are never fetched; external groups only where that is allowed. A page whose health is data_shell holds its data in scripts and can be read like others."""
+
+SPEC_RULES = """Answer with JSON alone: a spec with the key "kind" and the key "fields".
+"list": "item_selector" is the CSS selector of the repeating element, and "fields" maps each name to {"sel": CSS selector inside the element, "attr": "text", "html" or an attribute such as "href"}.
+"detail": one record a page; "fields" as for a list, selectors count from the page.
+"island": "island_selector" is the selector of a data script, "path" the dotted path to its objects (digits index a list), and "fields" maps each name to a dotted path inside an object."""
+
+READ_RULES = """Answer with JSON alone: {"records": [one object for each record, with the fields as keys, null for what isn't there], "needs_navigation": true if this page only leads to the pages that hold the records}."""
+
+
+def plan_prompt(objective: str, fields: list[str], state: dict, outlines: list[dict], settings: Settings = Settings()) -> str:
+    return f"{PLAN_RULES % settings.max_steps_per_plan}\nObjective: {objective}\nFields: {', '.join(fields)}\nState: {state}\nPages:\n" + "\n".join(map(str, outlines))
 
 
 def spec_prompt(fields: list[str], samples: list[str], islands: str) -> str:
-    return f"Write an extraction spec (JSON) for the fields {', '.join(fields)}.\nData scripts: {islands[:4000]}\n" + "\n---\n".join(samples[:2])
+    return f"Write an extraction spec for the fields {', '.join(fields)}. All pages of this layout will be read with it.\n{SPEC_RULES}\nData scripts: {islands[:4000]}\n" + "\n---\n".join(samples[:2])
 
 
 def read_prompt(fields: list[str], text: str, structured: str, links: list[str]) -> str:
-    return f"Read the fields {', '.join(fields)} from this page as JSON {{\"records\": [...], \"needs_navigation\": bool}}.\n{text}\n{structured[:2000]}\n" + "\n".join(links[:120])
+    return f"Read the fields {', '.join(fields)} from this page.\n{READ_RULES}\n{text}\n{structured[:2000]}\n" + "\n".join(links[:120])

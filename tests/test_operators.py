@@ -1,6 +1,8 @@
 """Facts, links, extraction, policy, store, fetching, engine and streams over small made-up sites."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +58,8 @@ class Scripted:
         self.asked.append(system)
         if system == "plan":
             return json.dumps(self.plans.pop(0) if self.plans else {"steps": [{"do": "done"}]}), 300, 30
-        return (json.dumps(DETAIL), 800, 80) if system == "spec" else (json.dumps({"records": [{"name": "read"}]}), 300, 30)
+        hub = "All companies" in prompt
+        return (json.dumps(DETAIL), 800, 80) if system == "spec" else (json.dumps({"records": [] if hub else [{"name": "read"}], "needs_navigation": hub}), 300, 30)
 
 
 PLAN = {"steps": [
@@ -70,7 +73,7 @@ def test_run_of_a_site_and_again(spark, tmp_path):
     model = Scripted([PLAN])
     report = Engine(store, Fetcher(store, TableTransport(site())), Model(model)).run("all companies", [BASE + "/"], ["name", "site"])
     assert (report["state"], report["records"], report["specs_made"]) == ("done", 18, 1)
-    assert len(report["clamps"]) == 4 and model.asked.count("spec") == 1 and "read" not in model.asked
+    assert len(report["clamps"]) == 4 and model.asked.count("spec") == 1 and model.asked.count("read") == 1  # the start page alone
     data = [json.loads(r.data) for r in store.records(report["run_id"]).collect()]
     assert {d["name"] for d in data} == set(NAMES) and {d["site"] for d in data} == {f"https://c{i}.example/" for i in range(18)}
     again = Scripted([PLAN])
@@ -115,6 +118,67 @@ def test_renders_and_cache_heal(spark, tmp_path):
     assert {r.health for r in Fetcher(none, TableTransport(shells), TableTransport(live), Settings(budget_renders=0)).fetch(list(shells)[:2]).collect()} == {"js_shell"}
 
 
+class Counted(TableTransport):
+    """Writes a line for each call, as workers share no memory with the test."""
+
+    def __init__(self, pages, path, remote=False):
+        super().__init__(pages)
+        self.path, self.remote = path, remote
+
+    def get(self, url):
+        with open(self.path, "a") as f:
+            f.write(f"{time.time()} {url}\n")
+        return super().get(url)
+
+    def calls(self):
+        return [(float(x.split()[0]), x.split()[1]) for x in open(self.path)] if os.path.exists(self.path) else []
+
+
+def test_renders_that_the_breaker_refuses_are_not_made(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    shells = {f"{BASE}/s{i}/x": '<html><body><div id="root"></div></body></html>' for i in range(14)}
+    dead = Counted({u: "<title>Page not found</title><main>" + TEXT + "</main>" for u in shells}, f"{tmp_path}/renders")
+    said = []
+    f = Fetcher(store, TableTransport(shells), dead, notice=said.append)
+    f.fetch(list(shells)).count()
+    assert len(dead.calls()) == f.renders == 10 and len(said) == 1 and "10 of 10" in said[0]
+    assert f.summary() == ["site.example: 4 renders not made, most pages there are gone"]
+    f.fetch([f"{BASE}/s12/x"]).count()  # the breaker stays open in later calls
+    assert len(dead.calls()) == 10
+    half = Counted({u: ("<title>Page not found</title><main>" if i % 2 else "<main>") + TEXT + "</main>" for i, u in enumerate(shells)}, f"{tmp_path}/half")
+    Fetcher(Store(spark, f"file://{tmp_path}/other"), TableTransport(shells), half).fetch(list(shells)).count()
+    assert len(half.calls()) == 14
+    few = Fetcher(Store(spark, f"file://{tmp_path}/few"), TableTransport(shells), half, Settings(budget_renders=3))
+    few.fetch(list(shells)).count()
+    assert len(half.calls()) == 17 and few.summary() == ["site.example: 11 renders beyond the budget"]
+
+
+def test_robots_are_fetched_once_and_pages_paced(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    web = Counted(site() | {BASE + "/robots.txt": "User-agent: *\nDisallow: /private\nCrawl-delay: 1", "https://o.example/a/b": "<p>" + TEXT}, f"{tmp_path}/calls", remote=True)
+    f = Fetcher(store, web, settings=Settings(min_delay=0.1))
+    got = {r.url: r.health for r in f.fetch([BASE + "/private/x", *(f"{BASE}/companies/c{i}-x" for i in range(4)), "https://o.example/a/b"]).collect()}
+    assert got[BASE + "/private/x"] == "robots_disallowed" and sum(h == "ok" for h in got.values()) == 5
+    f.fetch([f"{BASE}/companies/c{i}-x" for i in range(4, 6)]).count()
+    calls = web.calls()
+    assert [u for _, u in calls].count(BASE + "/robots.txt") == 1 and not any("private" in u for _, u in calls)
+    times = sorted(t for t, u in calls if "/companies/" in u)
+    assert len(times) == 6 and all(b - a > 0.98 for a, b in zip(times, times[1:]))
+    rude = Fetcher(Store(spark, f"file://{tmp_path}/rude"), web, settings=Settings(min_delay=0.0, respect_robots=False))
+    rude.fetch([BASE + "/private/x"]).count()
+    assert web.calls()[-1][1] == BASE + "/private/x"
+
+
+def test_prompts_name_every_key_that_is_read():
+    from pagequery.plans import program
+
+    said = program.plan_prompt("o", ["f"], {}, [])
+    assert all(f'"{k}"' in said for k in ("steps", "do", "urls", "from", "group", "cap", "paginate", "fields", "mode", "url_field", "reason", *program.KINDS, "start", "prev"))
+    assert all(f'"{k}"' in program.spec_prompt(["f"], [], "") for k in ("kind", "fields", "item_selector", "island_selector", "path", "sel", "attr", *ex.KINDS))
+    assert all(f'"{k}"' in program.read_prompt(["f"], "", "", []) for k in ("records", "needs_navigation"))
+    assert validate({"steps": [{"do": "extract"}]}, {"start"}, set(), ["f"]).steps[0].source == "start"
+
+
 def test_sitemaps(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     f = Fetcher(store, TableTransport(site()))
@@ -270,6 +334,9 @@ def test_command_line(spark, tmp_path):
         assert main(["--store", f"file://{tmp_path}/store", *args], spark, TableTransport(site()), out) == 0
         return out.getvalue().splitlines()
 
+    made = io.StringIO()
+    assert main(["--store", f"file://{tmp_path}/store", "synthesize", "--fields", "name,site", f"{BASE}/companies/c1-x"], spark, TableTransport(site()), made, Scripted([])) == 0
+    assert ex.Spec.read(made.getvalue()) == ex.Spec.read(DETAIL) and main(["--store", f"file://{tmp_path}/store", "synthesize", "--fields", "x", BASE], spark, TableTransport({}), made) == 2
     assert len(run("extract", "--spec", str(spec), *[f"{BASE}/companies/c{i}-x" for i in range(4)])) == 4
     assert json.loads(run("probe", BASE + "/list/all")[0])["links_total"] == 15
     assert len(run("expand", BASE + "/list/all", "site.example/companies/*")) == 12
