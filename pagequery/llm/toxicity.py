@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pagequery.llm.common import spare, table
 
-SAMPLE, SAMPLE_CHARS = (4000, 8000), 64_000_000
+SAMPLE, SAMPLE_CHARS = (4000, 8000), 48_000_000
 WINDOW, RUN, LEVEL = 64, 5, 3
 ORDINARY_BYTES, TOXIC_BYTES = 110_000, 4096
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -50,8 +50,12 @@ def held_out(doc_id: Column, parts: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % parts == 0, F.lit(True))
 
 
+def folded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+    return folded(text).split()
 
 
 def windows(words: list[bytes], size: int = WINDOW) -> list[bytes]:
@@ -127,7 +131,8 @@ def train(rows: list[tuple[str, int]], odds: float | None = None) -> Model | Non
     odds is the number of toxic rows over that of ordinary ones where rows come
     from; rows may hold them in another proportion.
     """
-    read = [(words_of(t), y) for t, y in rows]
+    # texts are split into words where they are used: the words of all together would take many times their room
+    read = [(folded(t), y) for t, y in rows]
     halves = [read[0::2], read[1::2]]
     if any(len({y for _, y in h}) < 2 for h in halves):
         return None
@@ -135,21 +140,21 @@ def train(rows: list[tuple[str, int]], odds: float | None = None) -> Model | Non
 
     def content(toxic, ordinary) -> tuple[bytes, bytes]:
         a, b = Counter(), Counter()
-        for w in toxic:
-            a.update(_runs(w))
-        for w in ordinary:
-            b.update(_runs(w))
+        for x in toxic:
+            a.update(_runs(x.split()))
+        for x in ordinary:
+            b.update(_runs(x.split()))
         share = len(toxic) / len(ordinary)
         strong = {g for g, n in a.items() if n >= 3 and n > 8 * b[g] * share and n - b[g] * share > 4.5 * math.sqrt(b[g] * share + 1)}
         marked = lambda w: any(g in strong for g in _runs([w]))
-        chosen = [b" " + b" ".join(x) + b" " for x in ([w for w in ws if marked(w)] for ws in toxic) if x]
+        chosen = [b" " + b" ".join(x) + b" " for x in ([w for w in t.split() if marked(w)] for t in toxic) if x]
         # every ordinary text gives windows spread over it, so that long ones don't crowd out the rest
-        plain = [w for ws in ordinary for found in (windows(ws),) for w in found[:: max(1, len(found) // 30)]]
+        plain = [w for t in ordinary for found in (windows(t.split()),) for w in found[:: max(1, len(found) // 30)]]
         return _trained(TOXIC_BYTES, chosen), _trained(ORDINARY_BYTES, plain)
 
     def table_of(model: Model, read) -> np.ndarray:
         features = measure(model)
-        return np.array([features(w) for w, _ in read], float)
+        return np.array([features(t.split()) for t, _ in read], float)
 
     # the curve is fitted on rows that its dictionaries haven't seen; those in use have seen all
     first = Model(*content(toxic, ordinary), ())
