@@ -22,30 +22,31 @@ def domain_cap(attempts: DataFrame, cap: int, *, counts: Column | None = None) -
     counts tells which attempts count; cached pages and refused ones don't, and are never capped.
     """
     counts = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
-    before = F.sum(counts.cast("long")).over(Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return attempts.withColumn("capped", counts & (before > cap))
+    told = running_budget(attempts.withColumn("_counts", counts), F.col("_counts").cast("long"), cap, by="domain")
+    return told.withColumn("capped", F.col("_counts") & ~F.col("within")).select(*attempts.columns, "capped")
 
 
 def running_budget(rows: DataFrame, amount: Column, budget: int, *, by: str | None = None, blocks: int = 1024) -> DataFrame:
-    """rows (seq, ...) with spent (up to and with this row) and within, by seq.
+    """rows (seq, ...) with spent (up to and with this row) and within, by seq; of each value of by, if that is given.
 
     The sum over a whole run is made in ranges of seq: a sum within each, and the
-    sums of the ranges before it, so that no task sees all rows.
+    sums of the ranges before it, so that no task sees all rows, or all of one by.
     """
-    if by:
-        over = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.withColumn("spent", F.sum(amount).over(over)).withColumn("within", F.col("spent") <= budget)
     ends = rows.agg(F.min("seq"), F.max("seq")).first()
     if ends[0] is None:
         return rows.withColumn("spent", F.lit(0).cast("long")).withColumn("within", F.lit(True))
     width = max(1, -(-(ends[1] - ends[0] + 1) // blocks))
     dealt = rows.withColumn("_amount", amount.cast("long")).withColumn("_block", F.floor((F.col("seq") - ends[0]) / width))
-    # one row for each block: no more than blocks, whatever the input
-    sums = dealt.groupBy("_block").agg(F.sum("_amount").alias("_sum"))
-    starts = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.sum("_amount").over(Window.partitionBy("_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_block").withColumn("spent", F.col("_start") + F.col("_inside"))
-    return out.withColumn("within", F.col("spent") <= budget).drop("_amount", "_block", "_inside", "_start")
+    own = [by] if by else []
+    sums = dealt.groupBy(*own, "_block").agg(F.sum("_amount").alias("_sum"))
+    before = Window.partitionBy(*own).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(c).alias("_by") for c in own), F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = F.sum("_amount").over(Window.partitionBy(*own, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    # without by there is one row for each block, whatever the input; with it as many as there are values, times blocks
+    starts, same = (starts, same & F.col(by).eqNullSafe(F.col("_by"))) if by else (F.broadcast(starts), same)
+    out = dealt.withColumn("_inside", inside).join(starts, same).withColumn("spent", F.col("_start") + F.col("_inside"))
+    return out.withColumn("within", F.col("spent") <= budget).drop("_amount", "_block", "_inside", "_start", "_at", "_by")
 
 
 def pacing(attempts: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -59,7 +59,7 @@ class Engine:
 
     def pages_of(self, label: str) -> DataFrame:
         wanted = self.spark.createDataFrame([(i, u) for i, u in enumerate(self.batches.get(label, []))], "seq long, url string")
-        return wanted.join(self.store.pages(), "url").filter(F.col("health").isin(*health.EXTRACTABLE))
+        return wanted.join(self.store.pages(wanted), "url").filter(F.col("health").isin(*health.EXTRACTABLE))
 
     def look(self, pages: DataFrame) -> None:
         """Outline one page of each template, offer what it links to, and keep the outlines for the next plan."""
@@ -85,7 +85,7 @@ class Engine:
         hops = self.settings.cap_paginate if step.paginate else 0
         for hop in range(hops + 1):
             wanted = self.spark.createDataFrame([(u,) for u in sources], "url string")
-            pages = page_facts(wanted.join(self.store.pages(), "url").filter(F.col("health").isin(*health.EXTRACTABLE)).select("url", "html")).persist()
+            pages = page_facts(wanted.join(self.store.pages(wanted), "url").filter(F.col("health").isin(*health.EXTRACTABLE)).select("url", "html")).persist()
             rows = ln.expand(ln.link_rows(pages), step.group)
             if not self.settings.allow_external:
                 rows = rows.filter(urls.domain(F.col("link")) == urls.domain(F.col("url")))

@@ -232,7 +232,7 @@ class Fetcher:
             self.store.save_pages(got)
             self.rested()
         every = self.spark.createDataFrame([tuple(r) for r in rows], planned.schema).drop("crawl_delay")
-        pages = self.store.pages().drop("domain", "content_hash", "fetched_at")
+        pages = self.store.pages(every).drop("domain", "content_hash", "fetched_at")
         out = every.join(pages, "url", "left")
         refused = ~F.col("decision").isin("cached", "fetch")
         return out.select(

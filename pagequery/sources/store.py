@@ -106,15 +106,19 @@ class Store:
 
     # ---- pages
 
-    def pages(self) -> DataFrame:
-        return latest(self.read("pages"), ["url"], F.desc_nulls_last("fetched_at"), F.desc("content_hash"))
+    def pages(self, wanted: DataFrame | None = None) -> DataFrame:
+        """The newest row of each page, or of those in wanted (url): only their rows, with their html, are ranked then."""
+        rows = self.read("pages")
+        if wanted is not None:
+            rows = rows.join(wanted.select("url").distinct(), "url", "left_semi")
+        return latest(rows, ["url"], F.desc_nulls_last("fetched_at"), F.desc("content_hash"))
 
     def save_pages(self, pages: DataFrame) -> None:
         self.append("pages", pages.withColumn("content_hash", content_hash(F.col("html"))))
 
     def cached(self, urls: DataFrame, max_age_days: float | None, now: Column | None = None) -> DataFrame:
         """urls (url, ...) with the cached page's columns, null where there is none that is fresh."""
-        pages = self.pages()
+        pages = self.pages(urls)
         if max_age_days is not None:
             pages = fresh(pages, (now if now is not None else F.current_timestamp()) - F.make_dt_interval(secs=F.lit(max_age_days * 86400.0).cast("decimal(18,6)")))
         return urls.join(pages, "url", "left")

@@ -277,6 +277,18 @@ def test_budgets_over_ranges(spark):
     assert policy.running_budget(rows.limit(0), F.col("n"), 3).count() == 0
 
 
+def test_budgets_and_caps_of_domains_over_ranges(spark):
+    given = [(i, "a" if i % 3 else (None if i % 2 else "b"), i) for i in range(50)]
+    rows = spark.createDataFrame(given, "seq long, domain string, n long")
+    for blocks in (1, 7, 1024):
+        got = {r.seq: (r.spent, r.within) for r in policy.running_budget(rows, F.col("n"), 30, by="domain", blocks=blocks).collect()}
+        spent = {i: sum(n for j, other, n in given if other == d and j <= i) for i, d, _ in given}
+        assert got == {i: (n, n <= 30) for i, n in spent.items()}
+    capped = {r.seq: r.capped for r in policy.domain_cap(rows, 5, counts=F.col("n") % 2 == 0).collect()}
+    assert capped == {i: i % 2 == 0 and sum(d == other and j % 2 == 0 for j, other, _ in given if j <= i) > 5 for i, d, _ in given}
+    assert policy.domain_cap(rows.limit(0), 5).columns == ["seq", "domain", "n", "capped"]
+
+
 def test_store_keeps_prunes_and_wipes(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     assert store.counts() == {"pages": 0, "runs": 0, "records": 0, "extractors": 0, "events": 0} and not (tmp_path / "store").exists()
@@ -285,6 +297,7 @@ def test_store_keeps_prunes_and_wipes(spark, tmp_path):
     store.save_pages(pages)
     store.save_pages(pages.filter("url = 'a'").withColumn("fetched_at", F.lit("2024-01-02 00:00:00").cast("timestamp")).withColumn("html", F.lit("z")))
     assert {r.url: r.html for r in store.pages().collect()} == {"a": "z", "b": "y", "c": None}
+    assert [(r.url, r.html) for r in store.pages(rows.select("url").filter("url = 'a'").union(rows.select(F.lit("none")))).collect()] == [("a", "z")]
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     assert {r.url for r in store.cached(rows.select("url"), 2.5, now).filter("fetched_at is not null").collect()} == {"b"}
     assert store.prune_pages(7, now) == 2 and store.counts()["pages"] == 1
