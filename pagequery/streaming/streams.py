@@ -72,9 +72,7 @@ def distinct_pages(pages: DataFrame, late: str = "7 days") -> DataFrame:
     return pages.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """All rows that a stream gives now, from an in-memory table; for tests and small runs."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """All rows that a stream gives now, written as Parquet below a folder that driver and executors share, next to the stream's state."""
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -366,3 +366,11 @@ def test_stream_into_store(spark, tmp_path):
         pages = streams.page_stream(spark, f"{tmp_path}/in", files_per_trigger=1)
         streams.into_store(streams.record_stream(pages, DETAIL), store, "r", "detail", f"{tmp_path}/check{n}").awaitTermination()
     assert store.records("r").count() == 6
+
+
+def test_stream_breaker_leaves_its_rows_in_files(spark):
+    from pagequery.plans import queries as core
+
+    for name in ("stream_breaker", "stream_extract"):
+        rows = core.queries()[name](spark, "/root/testdata/sf0.001")
+        assert rows.inputFiles() and rows.count() > 0  # a table in memory, which the driver holds, has no files
