@@ -374,3 +374,10 @@ def test_stream_breaker_leaves_its_rows_in_files(spark):
     for name in ("stream_breaker", "stream_extract"):
         rows = core.queries()[name](spark, "/root/testdata/sf0.001")
         assert rows.inputFiles() and rows.count() > 0  # a table in memory, which the driver holds, has no files
+
+
+def test_stream_cap_leaves_its_rows_in_files(spark):
+    from pagequery.plans import queries as core
+
+    rows = core.queries()["stream_cap"](spark, "/root/testdata/sf0.001")
+    assert rows.inputFiles() and rows.count() == 1000
