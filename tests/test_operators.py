@@ -381,3 +381,26 @@ def test_stream_cap_leaves_its_rows_in_files(spark):
 
     rows = core.queries()["stream_cap"](spark, "/root/testdata/sf0.001")
     assert rows.inputFiles() and rows.count() == 1000
+
+
+CUT = "<html><head><title>A &amp;&amp;&amp</title></head><body><nav><a href='?a=1&copy=2'>x&lt</a></nav><article><h1>A &amp;&quot</h1><p>\ufdd0 b &amp c &quot;d&quot; &notit; &copy;<script type='application/json'>{\"a&amp\":1}</script></article></body></html>"
+
+
+def test_main_text_keeps_names_without_a_semicolon():
+    f = fx.facts(CUT)
+    assert f["main_text"] == 'A &&quot\n\ufdd0 b &amp c "d" &notit; ©'
+
+
+def test_page_titles_keep_names_without_a_semicolon():
+    f = fx.facts(CUT)
+    assert (f["title"], f["headings"]) == ("A &&&amp", ["h1: A &&quot"])
+
+
+def test_page_outlines_keep_names_without_a_semicolon():
+    f = fx.facts(CUT)
+    assert [(x["href"], x["text"]) for x in f["links"]] == [("?a=1&copy=2", "x&lt")]
+    assert "".join(next(n for n in dom.parse(CUT).walk() if n.tag == "script").strings()) == '{"a&amp":1}'
+
+
+def test_main_text_is_whole():
+    assert fx.facts("<article>" + "<p>0123456789" * 9000)["main_text"] == "\n".join(["0123456789"] * 9000)
