@@ -404,3 +404,10 @@ def test_page_outlines_keep_names_without_a_semicolon():
 
 def test_main_text_is_whole():
     assert fx.facts("<article>" + "<p>0123456789" * 9000)["main_text"] == "\n".join(["0123456789"] * 9000)
+
+
+def test_detail_spec_deals_pages_out(spark):
+    from pagequery.plans import queries as core
+
+    # a file of small rows is one task or a few, however many pages it makes
+    assert core.queries()["detail_spec"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
