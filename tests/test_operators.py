@@ -411,3 +411,28 @@ def test_detail_spec_deals_pages_out(spark):
 
     # a file of small rows is one task or a few, however many pages it makes
     assert core.queries()["detail_spec"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_links_and_blocks_of_passing_pages_are_those_of_trees():
+    import random
+
+    bits = ["<div class=card>", "</div>", "<li class='a b'>", "</li>", "<a href=/x>", "<a href='/y?a=1&copy=2'>", "<a>", "</a>", "<img alt=' pic '>", "<img>", "<script>", "</script>", "<nav>", "</nav>", "<div role=main>", "<p>", "<svg>", "</svg>", " some  text\n", "&amp", "<tr class=r>", "<td>", "<section class=s>", "</section>", "x " * 90, "<template>", "</template>"]
+    rows = random.Random(1)
+    for n in range(400):
+        html = "".join(rows.choices(bits, k=rows.randint(0, 150)))
+        root, read = dom.parse(html), dom.feed(fx._Passing, html)
+        assert read.found_links() == [tuple(x.values()) for x in fx.links(root)]
+        assert read.found_blocks() == [tuple(x.values()) for x in fx.blocks(root)]
+
+
+def test_memory_of_a_large_page_is_that_of_its_links():
+    import tracemalloc
+
+    card = '<div class="card"><h3>name of it</h3><p class="d">type<p>more<a href="/parts/{}">see</a></div>'
+    html = "<main>" + "".join(card.format(i) for i in range(10_000))
+    tracemalloc.start()
+    read = dom.feed(fx._Passing, html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(read.links) == 10_000 and read.found_blocks()[0][1] == 10_000
+    assert peak < 6 * len(html)  # a tree takes some 20 times the page's text
